@@ -92,3 +92,47 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def binary_column(items: list[bytes]) -> pa.Array:
     return pa.array(items, pa.binary())
+
+
+def with_columns(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], begin) -> DataFrame:
+    """The rows of docs, without `text`, with new columns computed from whole texts.
+
+    begin() runs once in each task and returns a function from a list of texts (null: empty)
+    to one list for each new column. A column of docs that has the name of a new one is replaced.
+    """
+    keep = [c for c in docs.columns if c != text and c not in kinds]
+    sql = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            made = [pa.array(x, k) for x, k in zip(work(texts), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + made, names=[*keep, *kinds])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{c}` {sql[k]}" for c, k in kinds.items()])
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int, seed: str):
+    """At most `most` rows of each group, those of the smallest hashes of the key, as Python rows by group.
+
+    Counting the groups reads no texts. A hash threshold then picks about 1.2 times `most` rows
+    of each group, all of a small one, and the rows over `most` are dropped on the driver. So what
+    reaches the driver is bounded by the number of groups, and the same rows are picked on
+    every run, however they are partitioned.
+    """
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    rows = rows.filter(F.col(group).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    u = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("__u")
+    test = F.lit(False)
+    for value, n in counts.items():
+        test = test | ((F.col(group) == F.lit(value)) & (u < min(1.0, (1.2 * most + 20) / n)))
+    found = defaultdict(list)
+    for r in rows.filter(test).select("*", u).toLocalIterator():
+        found[r[group]].append((r["__u"], str(r[key]), r))
+    return {g: [x[2] for x in sorted(v, key=lambda x: x[:2])[:most]] for g, v in found.items()}
