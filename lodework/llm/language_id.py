@@ -30,13 +30,14 @@ MARGIN = 0.02
 class LanguageModel:
     dictionaries: dict[str, bytes]
     margin: float = MARGIN
-    level: int = 3
+    #: (greatest length in bytes, level): short texts offer few matches, and only the thorough levels find them.
+    levels: tuple[tuple[float, int], ...] = ((1000, 12), (float("inf"), 3))
 
-    def packers(self) -> dict[str, zstandard.ZstdCompressor]:
+    def packers(self, level: int) -> dict[str, zstandard.ZstdCompressor]:
         made = {}
         for lang, data in sorted(self.dictionaries.items()):
             shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=self.level)
+            shared.precompute_compress(level=level)
             made[lang] = zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
         return made
 
@@ -94,12 +95,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
 
     def begin():
-        packers = model.packers()
+        by_length = [(most, model.packers(level)) for most, level in model.levels]
 
         def one(t):
-            if not packers or not any(c.isalpha() for c in t):
+            if not model.dictionaries or not any(c.isalpha() for c in t):
                 return "und", 0.0, False
             data = normal(t).encode()
+            packers = next(p for most, p in by_length if len(data) <= most)
             sizes = sorted((len(p.compress(data)), lang) for lang, p in packers.items())
             gap = (sizes[1][0] - sizes[0][0]) / max(1, sizes[0][0]) if len(sizes) > 1 else 1.0
             weights = [math.exp(-50.0 * (s - sizes[0][0]) / max(1, sizes[0][0])) for s, _ in sizes]

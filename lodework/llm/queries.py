@@ -1,8 +1,11 @@
 """The queries of the training-data operators."""
 
-from lodework.llm import quality_rules
+from lodework.llm import language_id, quality_rules, secret_scan, toxicity
 
 QUERIES = {
+    "op7_secret_scan": secret_scan.query,
+    "op8_toxicity": toxicity.query,
+    "op9_language_id": language_id.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES: dict[str, str] = {}
