@@ -1,11 +1,15 @@
 """The queries of the training-data operators."""
 
-from lodework.llm import language_id, quality_rules, secret_scan, toxicity
+from lodework.llm import language_id, quality_rules, secret_scan, source_mixing, token_ids, toxicity
 
 QUERIES = {
+    "op1_token_ids": token_ids.query,
+    "op6_source_mixing": source_mixing.query,
     "op7_secret_scan": secret_scan.query,
     "op8_toxicity": toxicity.query,
     "op9_language_id": language_id.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_source_mixing": source_mixing.ORACLE,
+}
