@@ -1,0 +1,47 @@
+"""Connected components of an edge table, without gathering edges or labels anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodework.llm.common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+    """(id, component) for every end of the edges (columns a, b): the smallest id reachable.
+
+    Each round lets every vertex point to its smallest neighbour, follows the pointers to
+    their roots by doubling, and replaces the edges' ends by these roots; the graph that is
+    left shrinks by more than half a round, so rounds and doublings are logarithmic. Aggregations are
+    minima, combined before they are shuffled; joins on a root with very many vertices are left to
+    the adaptive splitting of skewed partitions. Each step is a written table.
+    """
+    edges = edges.filter("a is not null and b is not null and a <> b")
+    left = scratch.save(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), f"{name}-edges-0")
+    labels, r = None, 0
+    while not left.isEmpty():
+        r += 1
+        ends = left.select(F.col("hi").alias("v"), F.col("lo").alias("p")).unionByName(left.select(F.col("lo").alias("v"), F.col("lo").alias("p")))
+        point = scratch.save(ends.groupBy("v").agg(F.min("p").alias("p")), f"{name}-point-{r}-0")
+        jump = 0
+        while True:
+            jump += 1
+            to = point.select(F.col("v").alias("w"), F.col("p").alias("q"))
+            new = point.join(to, point["p"] == to["w"]).select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved"))
+            new = scratch.save(new, f"{name}-point-{r}-{jump}")
+            done = new.filter("moved").isEmpty()
+            point = new.drop("moved")
+            if done:
+                break
+        if labels is None:
+            labels = point.select(F.col("v").alias("id"), F.col("p").alias("component"))
+        else:
+            labels = labels.join(point, labels["component"] == point["v"], "left").select("id", F.coalesce("p", "component").alias("component"))
+            labels = scratch.save(labels, f"{name}-labels-{r}")
+        lo, hi = point.select(F.col("v").alias("lo"), F.col("p").alias("x")), point.select(F.col("v").alias("hi"), F.col("p").alias("y"))
+        left = left.join(lo, "lo").join(hi, "hi").filter("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+        left = scratch.save(left, f"{name}-edges-{r}")
+    if labels is None:
+        return left.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
+    return labels

@@ -1,9 +1,11 @@
 """The queries of the training-data operators."""
 
-from lodework.llm import language_id, quality_rules, secret_scan, source_mixing, token_ids, toxicity
+from lodework.llm import language_id, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mixing, token_ids, toxicity
 
 QUERIES = {
     "op1_token_ids": token_ids.query,
+    "op3_sentence_pieces": sentence_pieces.query,
+    "op5_minhash_dedup": minhash_dedup.query,
     "op6_source_mixing": source_mixing.query,
     "op7_secret_scan": secret_scan.query,
     "op8_toxicity": toxicity.query,
@@ -11,5 +13,6 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op5_minhash_dedup": minhash_dedup.ORACLE,
     "op6_source_mixing": source_mixing.ORACLE,
 }
