@@ -1,10 +1,11 @@
 """The queries of the training-data operators."""
 
-from lodework.llm import language_id, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mixing, token_ids, toxicity
+from lodework.llm import embedding_dedup, language_id, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mixing, token_ids, toxicity
 
 QUERIES = {
     "op1_token_ids": token_ids.query,
     "op3_sentence_pieces": sentence_pieces.query,
+    "op4_embedding_dedup": embedding_dedup.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_source_mixing": source_mixing.query,
     "op7_secret_scan": secret_scan.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op5_minhash_dedup": minhash_dedup.ORACLE,
     "op6_source_mixing": source_mixing.ORACLE,
 }

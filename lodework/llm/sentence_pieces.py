@@ -12,6 +12,7 @@ predecessor of every position qualifies, and the ids are those of the library's
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -147,6 +148,12 @@ class Pieces:
         return text[1:] if self.starts_with_blank and text.startswith(" ") else text
 
 
+@functools.cache
+def pieces_of(path: str) -> Pieces:
+    """One for each worker process, which keeps it, and its caches, from task to task."""
+    return Pieces(path)
+
+
 class Lattice:
     """The window of one stream: feed() returns the ids that new text settles, close() the rest."""
 
@@ -237,7 +244,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
     """
 
     def begin():
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
 
         def one(t):
             ids = pieces.encode(t) if t else []
@@ -256,7 +263,7 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", text: str
     keep = [c for c in encoded.columns if c not in (ids, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             texts = [pieces.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, text])

@@ -12,6 +12,7 @@ plain file (`Shard.open`). Parts follow each other in key order; so do the shard
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -113,6 +114,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which keeps it, and its cache, from task to task."""
+    return Encoder(path)
+
+
 def _bitmap(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed bits, and the number of ones before each RANK_BITS of them."""
     packed = np.packbits(bits, bitorder="little")
@@ -204,7 +211,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         keys, ends, data, n, seq, start = [], [], [], 0, 0, 0
 
