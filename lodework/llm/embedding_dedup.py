@@ -149,15 +149,16 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", e
     own, all_of = (lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     left = members.join(F.broadcast(sizes), "cell").withColumn("mb", own("rep", "mbs")).withColumn("pb", all_of("pbs")).select("cell", "mb", "pb", "rep", "many", "v", "code", "factor")
     right = probes.join(F.broadcast(sizes), "cell").withColumn("pb", own("rep", "pbs")).withColumn("mb", all_of("mbs")).select("cell", "mb", "pb", "rep", "v")
+    left, right = (x.select(*(F.col(c).alias(p + c) for c in x.columns)) for p, x in (("m_", left), ("q_", right)))
 
     def meet(members: pa.Table, queries: pa.Table) -> pa.Table:
         found = ([], [], [])
         if members.num_rows and queries.num_rows:
-            ids, qids = members.column("rep").to_numpy(), queries.column("rep").to_numpy()
-            x = np.frombuffer(b"".join(members.column("v").to_pylist())).reshape(-1, dim)
-            q = np.frombuffer(b"".join(queries.column("v").to_pylist())).reshape(-1, dim)
-            bits = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            factors, many = members.column("factor").to_numpy(), members.column("many").to_numpy()
+            ids, qids = members.column("m_rep").to_numpy(), queries.column("q_rep").to_numpy()
+            x = np.frombuffer(b"".join(members.column("m_v").to_pylist())).reshape(-1, dim)
+            q = np.frombuffer(b"".join(queries.column("q_v").to_pylist())).reshape(-1, dim)
+            bits = np.frombuffer(b"".join(members.column("m_code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            factors, many = members.column("m_factor").to_numpy(), members.column("m_many").to_numpy()
             nodes = np.unique(np.concatenate([ids, qids]))
             links, a, b = np.zeros(len(qids), np.int64), [], []
             for i in range(0, len(q), 512):
@@ -177,8 +178,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", e
             found = (np.concatenate([qids[some], nodes[linked]]), np.concatenate([links[some], np.zeros(len(linked), np.int64)]), np.concatenate([qids[some], root[linked]]))
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("id", "links", "root"), found, strict=True)})
 
-    group = ["cell", "mb", "pb"]
-    met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, "id long, links long, root long")
+    met = left.groupBy("m_cell", "m_mb", "m_pb").cogroup(right.groupBy("q_cell", "q_mb", "q_pb")).applyInArrow(meet, "id long, links long, root long")
     met = scratch.save(met, "met")
     edges = met.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     ids = rows.filter("id is not null and v is not null").join(classes.select("v", "rep"), "v").select("id", "rep")
