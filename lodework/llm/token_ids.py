@@ -15,8 +15,10 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,17 +37,18 @@ SHARD_TOKENS = 1 << 20
 RANK_BITS = 512
 #: Pieces of text whose ids a worker keeps.
 CACHE_PIECES = 600_000
-#: Texts with anything but single blanks and newlines between words are encoded whole by the library.
-PLAIN = r"(?:[^\s\u180e\u200b\ufeff]+(?:[ \n](?=\S))?)*"
+#: Pieces with one of these go through the library with their whole text.
+ODD = r"[\s\u180e\u200b\ufeff\0]"
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     Byte-level BPE never merges across its pre-tokens, and a single blank or newline between two
-    words always begins one. So a text is split there, the ids of known pieces come from a
-    bounded cache, and all unknown pieces of a batch go through the library in one call. Any
-    other kind of tokenizer, and any text that isn't plain, goes through the library whole.
+    words always begins one. So a text is split there, and the ids of known pieces come from a
+    bounded cache. An unknown word of letters, which is one pre-token, goes to the library's
+    model, any other unknown piece to its encoder. Any other kind of tokenizer, and any text with
+    other white space or special tokens, goes through the library whole.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -58,24 +61,43 @@ class Encoder:
         spec = json.loads(self.lib.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and pre.get("use_regex", True)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.most, self.cache, self.plain = cache_pieces, {}, re.compile(PLAIN).fullmatch
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.odd = re.compile("|".join([ODD, *added])).search
+        self.most, self.cache = cache_pieces, {}
         if self.byte_level:
-            size = self.lib.get_vocab_size()
-            self.width = np.array([len(self.lib.id_to_token(i) or "") for i in range(size)], np.int64)
+            self.model, self.newline = self.lib.model, self._whole(["\n"])[0]
+            # The byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and up.
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [i for i in range(256) if i not in set(printable)]
+            self.letters = {**{i: chr(i) for i in printable}, **{i: chr(256 + n) for n, i in enumerate(rest)}}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """The ids of pieces that begin with a blank or a newline."""
-        ids = np.array(self.lib.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.searchsorted(np.cumsum(self.width[ids]), ends, "left") + 1
-        data, begin = ids.tobytes(), 0
-        for piece, end in zip(pieces, (4 * at).tolist(), strict=True):
-            self.cache[piece.removeprefix(" ")] = data[begin:end]
-            begin = end
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a piece: as it stands after a blank, with its newline, or, after \0, at the beginning of a text. None if it is odd."""
+        if piece.isalpha():
+            return self._word(" " + piece)
+        stem = piece.rstrip(string.punctuation)
+        if stem.isalpha():
+            tail = piece[len(stem) :]
+            ids, marks = self.cache.get(stem), self.cache.get("\1" + tail)
+            if ids is None:
+                ids = self.cache[stem] = self._word(" " + stem)
+            if marks is None:
+                marks = self.cache["\1" + tail] = self._word(tail)
+            return ids + marks
+        head, word = piece[:1], piece[1:]
+        if head not in ("\n", "\0"):
+            return None if not piece or self.odd(piece) else self._whole([" " + piece])[0]
+        if not word or self.odd(word):
+            return None
+        ids = self._word(word) if word.isalpha() else self._whole([word])[0]
+        return self.newline + ids if head == "\n" else ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text the ids as little-endian unsigned 32-bit integers."""
@@ -83,34 +105,32 @@ class Encoder:
             return [x for k in range(0, len(texts), 64) for x in self._whole(texts[k : k + 64])]
         if len(self.cache) > self.most:
             self.cache.clear()
-        get, out, split, missing, first = self.cache.get, [b""] * len(texts), {}, {}, {}
+        cache, get, out, rest = self.cache, self.cache.get, [b""] * len(texts), []
         for i, t in enumerate(texts):
-            if self.plain(t) and not any(a in t for a in self.added):
-                # A piece is known by its text after a blank, by newline and text, or, at the start, by text after \0.
-                pieces = ("\0" + t.replace("\n", " \n")).split(" ")
-                got = list(map(get, pieces))
-                if got[0] is None:
-                    first[pieces[0]] = None
-                if None in got:
-                    missing.update(dict.fromkeys(p for p, g in zip(pieces[1:], got[1:], strict=True) if g is None))
-                split[i] = (pieces, got)
-            else:
-                first["\0\0" + str(i)] = t
-        todo = [p if p[0] == "\n" else " " + p for p in missing]
-        for k in range(0, len(todo), 4096):
-            self._learn(todo[k : k + 4096])
-        names = list(first)
-        for k in range(0, len(names), 64):
-            part = names[k : k + 64]
-            for name, ids in zip(part, self._whole([n[1:] if first[n] is None else first[n] for n in part]), strict=True):
-                if first[name] is None:
-                    self.cache[name] = ids
-                else:
-                    out[int(name[2:])] = ids
-        for i, (pieces, got) in split.items():
+            if not t:
+                continue
+            pieces = ("\0" + t.replace("\n", " \n")).split(" ")
+            got = list(map(get, pieces))
             if None in got:
-                got = [get(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
-            out[i] = b"".join(got)
+                at = -1
+                try:
+                    while True:
+                        at = got.index(None, at + 1)
+                        ids = get(pieces[at])
+                        if ids is None:
+                            ids = self._piece(pieces[at])
+                            if ids is None:
+                                rest.append(i)
+                                break
+                            cache[pieces[at]] = ids
+                        got[at] = ids
+                except ValueError:
+                    out[i] = b"".join(got)
+            else:
+                out[i] = b"".join(got)
+        for k in range(0, len(rest), 64):
+            for i, ids in zip(rest[k : k + 64], self._whole([texts[i] for i in rest[k : k + 64]]), strict=True):
+                out[i] = ids
         return out
 
 
