@@ -164,17 +164,20 @@ def star_edges(reps: DataFrame, buckets: int, bands: Bands, rows_at_once: int =
     return emitted.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, bands: Bands, key: str, text: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. The sets of the pairs' documents are made once and written."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, bands: Bands, key: str, text: str) -> DataFrame:
+    """(id, set) of the documents with these ids: the one shuffle of texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*raw(batch.column(1)), bands.shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(make, "id long, set binary"), f"{name}-sets")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(make, "id long, set binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, bands: Bands,
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return scratch.save(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 #: Documents of one key that are compared with each other, or with as many others, in one task.
@@ -274,12 +277,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     entries = reps.count() * bands.bands
     buckets = 1 << max(4, (max(entries // 500_000, 2 * partitions(docs.sparkSession)) - 1).bit_length())
     stars = scratch.save(star_edges(reps, buckets, bands), "stars")
-    links = confirmed(stars, docs, scratch, bands, key, text, "stars")
+    ends = scratch.save(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ends")
+    sets = scratch.save(full_sets(ends, docs, bands, key, text), "sets")
+    links = scratch.save(confirmed(stars, sets, bands), "links")
     part = components(links, scratch, "first")
-    ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     labels = scratch.save(ends.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     rest = scratch.save(remaining_pairs(reps, labels, bands), "rest")
-    more = confirmed(rest, docs, scratch, bands, key, text, "rest")
+    more = scratch.save(confirmed(rest, sets, bands), "more")
     same = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(more).unionByName(same), scratch, "final")
     out = rows.select("id", "n").join(final, "id", "left")
