@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of anything but these six ASCII bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once by a Python worker, in UTF-8 bytes; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,8 +13,10 @@ predecessor of every position qualifies, and the ids are those of the library's
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from lodework.llm.common import with_columns
 
 SPACE = "▁"
 #: Words, and pairs of neighbouring pieces, that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 400_000, 150_000
 UNIGRAM, BPE = 1, 2
 #: The library's distance of an unknown character's score below the least score.
 UNKNOWN_PENALTY = 10.0
@@ -87,7 +89,15 @@ class Pieces:
         self.starts_with_blank = self.lib.normalize("a").startswith(SPACE)
         #: Where no piece has a blank after another character, a blank after one is a boundary of every path.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not any(SPACE in p.lstrip(SPACE) for p in self.id) else lambda t: [t]
-        self.most, self.words, self.pairs = cache_words, {}, {}
+        self.most, self.words, self.pairs, self.spines, self.whole = cache_words, {}, {}, {}, {}
+        #: Lengths of the pieces that end in two given characters, the longest first; shorter ones are tried always.
+        ends: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Neighbouring characters that some piece holds; between any others lies a boundary of every path.
+        self.joints = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.lengths = {e: (*sorted(n, reverse=True), 1) for e, n in ends.items()}
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scored pair first, the leftmost of equals."""
@@ -103,13 +113,46 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _spine(self, piece: str, right: bool) -> list[tuple[str, float]]:
+        """The parts that lie at one end of a piece while it is merged, the smallest first, each with the score of the merge that takes it up."""
+        known = self.spines.get((piece, right))
+        if known is None:
+            parts, known = list(piece), [(piece[-1] if right else piece[0], 0.0)]
+            while len(parts) > 1:
+                best, at = max(((self.score.get(parts[i] + parts[i + 1], -math.inf), -i) for i in range(len(parts) - 1)))
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+                end = parts[-1] if right else parts[0]
+                if end != known[-1][0]:
+                    known[-1] = (known[-1][0], best)
+                    known.append((end, 0.0))
+            known[-1] = (known[-1][0], -math.inf)
+            self.spines[piece, right] = known
+        return known
+
     def neighbours(self, a: str, b: str) -> bool:
-        """Whether the merges leave a and b side by side."""
+        """Whether the merges leave a and b, each of them a result of its own merges, side by side.
+
+        They don't if two parts that ever face each other there make a piece that comes before the merges
+        that take these parts up; of equal merges the left one comes first.
+        """
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            left, right, i, j, known = self._spine(a, True), self._spine(b, False), 0, 0, True
+            while True:
+                (x, up), (y, down) = left[i], right[j]
+                crossing = self.score.get(x + y)
+                if crossing is not None and crossing > up and crossing >= down:
+                    known = False
+                    break
+                if i + 1 == len(left) and j + 1 == len(right):
+                    break
+                if up >= down:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = known
         return known
 
     def ids_of(self, path: Iterable[str]) -> list[int]:
@@ -128,19 +171,47 @@ class Pieces:
     def normalize(self, text: str) -> str:
         return self.lib.normalize(text)
 
-    def encode(self, text: str) -> list[int]:
+    def alone(self, piece: str) -> bool:
+        """Whether the merges make a piece of its own text."""
+        known = self.whole.get(piece)
+        if known is None:
+            known = self.whole[piece] = len(self.merged(piece)) == 1
+        return known
+
+    def _word(self, word: str) -> bytes:
+        joints, begin, out = self.joints, 0, []
+        for i in range(1, len(word) + 1):
+            if i == len(word) or word[i - 1 : i + 1] not in joints:
+                part = word[begin:i]
+                ids = self.words.get(part)
+                if ids is None:
+                    ids = array("I", self.lattice.feed(part) + self.lattice.close()).tobytes()
+                    if len(part) <= 64:
+                        self.words[part] = ids
+                out.append(ids)
+                begin = i
+        return b"".join(out)
+
+    @functools.cached_property
+    def lattice(self) -> Lattice:
+        return Lattice(self)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers. Between boundaries that every path shares, words come from the cache."""
         if len(self.words) > self.most:
             self.words.clear()
-        out, known = [], self.words
-        for word in self.cut(self.normalize(text)):
-            ids = known.get(word)
-            if ids is None:
-                lattice = Lattice(self)
-                ids = lattice.feed(word) + lattice.close()
-                if len(word) <= 64:
-                    known[word] = ids
-            out += ids
-        return out
+        words = self.cut(self.normalize(text))
+        got = list(map(self.words.get, words))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    got[i] = self.words.get(words[i]) or self._word(words[i])
+                    if len(words[i]) <= 64:
+                        self.words[words[i]] = got[i]
+        return b"".join(got)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         table = self.table
@@ -164,41 +235,57 @@ class Lattice:
     def _reset(self) -> None:
         self.text, self.piece, self.total = "", [""], [0.0]
 
-    def _step(self, i: int) -> None:
-        p, text = self.p, self.text
-        if p.kind == BPE:
-            # The merges of a prefix end in exactly one of the pieces that end here.
-            for length in range(min(p.longest, i), 0, -1):
-                s = text[i - length : i]
-                if (s in p.id or length == 1) and (i == length and self._alone(s) or i > length and p.neighbours(self.piece[i - length], s)):
-                    self.piece.append(s)
-                    return
-            self.piece.append(text[i - 1])
-            return
-        best, found = None, text[i - 1]
-        for length in range(min(p.longest, i), 0, -1):
-            s = text[i - length : i]
-            score = p.score.get(s)
-            if score is None:
-                if length > 1:
+    def _merges(self) -> None:
+        """The last piece of each prefix: the merges of a prefix end in exactly one of the pieces that end there."""
+        p, text, piece = self.p, self.text, self.piece
+        ids, pairs, lengths = p.id, p.pairs, p.lengths
+        for i in range(len(piece), len(text) + 1):
+            found = text[i - 1]
+            for n in lengths.get(text[i - 2 : i], (1,)) if i > 1 else (1,):
+                if n > i:
                     continue
-                score = p.unknown_score
-            score += self.total[i - length]
-            if best is None or score > best:
-                best, found = score, s
-        self.piece.append(found)
-        self.total.append(best)
-
-    def _alone(self, s: str) -> bool:
-        """Whether s follows what was committed last: at the beginning, whether the merges make it of its own text."""
-        return self.p.neighbours(self.before, s) if self.before else len(self.p.merged(s)) == 1
-
+                s = text[i - n : i]
+                if s not in ids:
+                    continue
+                before = piece[i - n] or self.before
+                if before:
+                    ok = pairs.get((before, s))
+                    if ok is None:
+                        ok = p.neighbours(before, s)
+                else:
+                    ok = p.alone(s)
+                if ok:
+                    found = s
+                    break
+            piece.append(found)
+
+    def _scores(self) -> None:
+        """The last piece of the best path to each position."""
+        p, text = self.p, self.text
+        for i in range(len(self.piece), len(text) + 1):
+            best, found = None, text[i - 1]
+            for n in range(min(p.longest, i), 0, -1):
+                s = text[i - n : i]
+                score = p.score.get(s)
+                if score is None:
+                    if n > 1:
+                        continue
+                    score = p.unknown_score
+                score += self.total[i - n]
+                if best is None or score > best:
+                    best, found = score, s
+            self.piece.append(found)
+            self.total.append(best)
+
+    #: The piece that was committed last; empty at the beginning.
     before = ""
 
     def feed(self, text: str) -> list[int]:
         self.text += text
-        for i in range(len(self.piece), len(self.text) + 1):
-            self._step(i)
+        if self.p.kind == BPE:
+            self._merges()
+        else:
+            self._scores()
         return self._settled() if len(self.text) > 2 * self.p.longest else []
 
     def _path(self, at: int) -> list[str]:
@@ -247,9 +334,8 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
         pieces = pieces_of(model)
 
         def one(t):
-            ids = pieces.encode(t) if t else []
-            data = np.array(ids, "<u4").tobytes()
-            return (len(ids), zlib.crc32(data), pieces.decode(ids) == t) + ((data,) if keep_ids else ())
+            data = pieces.encode_bytes(t) if t else b""
+            return (len(data) // 4, zlib.crc32(data), pieces.decode(np.frombuffer(data, "<u4").tolist()) == t) + ((data,) if keep_ids else ())
 
         n = 4 if keep_ids else 3
         return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * n

@@ -14,19 +14,20 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes or windows hashed at once; bounds the tables of powers.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(n, BLOCK)
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         up, down = (np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 2 * BLOCK:
+        if size <= 4 * BLOCK:
             _tables[base] = have
     return have
 
