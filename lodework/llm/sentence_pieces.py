@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lodework.llm.common import with_columns
 
 SPACE = "▁"
-#: Words, and pairs of neighbouring pieces, that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 150_000
+#: Words, pairs of neighbouring pieces, and beginnings of words that a worker remembers.
+CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS = 600_000, 150_000, 200_000
+#: Lengths of beginnings of words whose part of the lattice is remembered, as many words share them.
+HEADS = (10, 8, 6, 4)
 UNIGRAM, BPE = 1, 2
 #: The library's distance of an unknown character's score below the least score.
 UNKNOWN_PENALTY = 10.0
@@ -89,7 +91,7 @@ class Pieces:
         self.starts_with_blank = self.lib.normalize("a").startswith(SPACE)
         #: Where no piece has a blank after another character, a blank after one is a boundary of every path.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not any(SPACE in p.lstrip(SPACE) for p in self.id) else lambda t: [t]
-        self.most, self.words, self.pairs, self.spines, self.whole = cache_words, {}, {}, {}, {}
+        self.most, self.words, self.older, self.pairs, self.spines, self.whole, self.heads = cache_words, {}, {}, {}, {}, {}, {}
         #: Lengths of the pieces that end in two given characters, the longest first; shorter ones are tried always.
         ends: dict[str, set[int]] = {}
         for p in self.id:
@@ -183,11 +185,11 @@ class Pieces:
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in joints:
                 part = word[begin:i]
-                ids = self.words.get(part)
+                ids = self.words.get(part) or self.older.get(part)
                 if ids is None:
                     ids = array("I", self.lattice.feed(part) + self.lattice.close()).tobytes()
-                    if len(part) <= 64:
-                        self.words[part] = ids
+                if len(part) <= 64:
+                    self.words[part] = ids
                 out.append(ids)
                 begin = i
         return b"".join(out)
@@ -198,14 +200,14 @@ class Pieces:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers. Between boundaries that every path shares, words come from the cache."""
-        if len(self.words) > self.most:
-            self.words.clear()
+        if len(self.words) > self.most // 2:  # two generations: words in use outlive a change
+            self.words, self.older = {}, self.words
         words = self.cut(self.normalize(text))
         got = list(map(self.words.get, words))
         if None in got:
             for i, ids in enumerate(got):
                 if ids is None:
-                    got[i] = self.words.get(words[i]) or self._word(words[i])
+                    got[i] = self.words.get(words[i]) or self.older.get(words[i]) or self._word(words[i])
                     if len(words[i]) <= 64:
                         self.words[words[i]] = got[i]
         return b"".join(got)
@@ -239,6 +241,15 @@ class Lattice:
         """The last piece of each prefix: the merges of a prefix end in exactly one of the pieces that end there."""
         p, text, piece = self.p, self.text, self.piece
         ids, pairs, lengths = p.id, p.pairs, p.lengths
+        fresh = len(piece) == 1 and not self.before
+        if fresh:
+            for n in HEADS:
+                if len(text) >= n:
+                    known = p.heads.get(text[:n])
+                    if known is not None:
+                        piece.extend(known)
+                        break
+        had = len(piece) - 1
         for i in range(len(piece), len(text) + 1):
             found = text[i - 1]
             for n in lengths.get(text[i - 2 : i], (1,)) if i > 1 else (1,):
@@ -258,6 +269,12 @@ class Lattice:
                     found = s
                     break
             piece.append(found)
+        if fresh and len(text) <= 64:
+            if len(p.heads) >= CACHE_HEADS:
+                p.heads.clear()
+            for n in HEADS:
+                if had < n <= len(text):
+                    p.heads[text[:n]] = piece[1 : n + 1]
 
     def _scores(self) -> None:
         """The last piece of the best path to each position."""
