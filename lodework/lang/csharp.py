@@ -80,7 +80,7 @@ class Parser:
             self.errors += 1
 
     def close_of(self, i: int) -> int:
-        """The index of the bracket that closes the one at i."""
+        """The index of the bracket that closes the one at i; without one, the token before the bracket that closes something around it."""
         pairs, depth = {"(": ")", "[": "]", "{": "}"}, []
         for j in range(i, len(self.t)):
             if self.t[j].kind != "punctuation":
@@ -88,8 +88,11 @@ class Parser:
             x = self.t[j].text
             if x in pairs:
                 depth.append(pairs[x])
-            elif depth and x == depth[-1]:
-                depth.pop()
+            elif x in (")", "]", "}"):
+                if x not in depth:
+                    return j - 1
+                while depth.pop() != x:
+                    pass
                 if not depth:
                     return j
         return len(self.t) - 1

@@ -61,16 +61,16 @@ def repeated_kgrams(grams: DataFrame, least: int = 2) -> DataFrame:
     return many.filter(F.col("n_occurrences") >= least).withColumn("left_maximal", F.col("__a") != F.col("__b")).drop("__a", "__b")
 
 
-def intervals(sequences: list[np.ndarray], k: int, least: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def intervals(sequences: list[np.ndarray], k: int, least: int, starts: list[range]) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(sequence, position)]) of every repeat of k tokens or more that can't be extended to the right or left with all its occurrences.
 
     Classes of equal runs are refined token by token: a class splits by the next token; where it
     splits, or an occurrence ends, the run is right-maximal. The beginning and the end of each
-    sequence differ from everything.
+    sequence differ from everything. Runs begin at the given positions; what lies around them is context.
     """
     at = defaultdict(list)
     for s, x in enumerate(sequences):
-        for p in range(len(x) - k + 1):
+        for p in starts[s]:
             at[tuple(x[p : p + k].tolist())].append((s, p))
     out, work = [], [(k, v) for v in at.values() if len(v) >= least]
     while work:
@@ -112,15 +112,17 @@ def maximal_repeats(tokens: DataFrame, id_: str, k: int, scratch: Scratch, least
     spans = regions.select(F.col(id_).alias("__i"), "start", "last", "family")
     # One token before and after each region says where repeats end.
     near = (F.col(id_) == F.col("__i")) & (F.col("pos") >= F.col("start") - 1) & (F.col("pos") <= F.col("last") + k)
-    rows = tokens.select(id_, "pos", F.xxhash64(token).alias("h")).join(spans, near).select("family", id_, "start", "pos", "h")
+    rows = tokens.select(id_, "pos", F.xxhash64(token).alias("h")).join(spans, near).select("family", id_, "start", "last", "pos", "h")
 
     def refine(t: pa.Table) -> pa.Table:
         d = t.to_pandas().sort_values([id_, "start", "pos"], kind="stable")
-        ids, seqs = [], []
+        ids, seqs, starts = [], [], []
         for (i, start), part in d.groupby([id_, "start"], sort=True):
-            ids.append((i, int(part["pos"].iloc[0])))
+            first = int(part["pos"].iloc[0])
+            ids.append((i, first))
             seqs.append(part["h"].to_numpy())
-        found = [(n, [(ids[s][0], ids[s][1] + p) for s, p in places]) for n, places in intervals(seqs, k, least)]
+            starts.append(range(start - first, int(part["last"].iloc[0]) - first + 1))
+        found = [(n, [(ids[s][0], ids[s][1] + p) for s, p in places]) for n, places in intervals(seqs, k, least, starts)]
         return pa.table({"length": pa.array([n for n, _ in found], pa.int32()), "occurrences": pa.array([[{"id": i, "pos": p} for i, p in v] for _, v in found], pa.list_(pa.struct([("id", t.schema.field(id_).type), ("pos", pa.int32())])))})
 
     return rows.groupBy("family").applyInArrow(refine, f"length int, occurrences array<struct<id:{kind},pos:int>>")
