@@ -14,7 +14,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodework-"))
         root = spark.sparkContext.getCheckpointDir()

@@ -18,10 +18,23 @@ TYPES = ("class", "struct", "interface", "enum", "record", "delegate")
 #: Attributes that don't mean that a framework uses a declaration.
 INERT_ATTRIBUTES = ("Obsolete", "DebuggerDisplay", "DebuggerStepThrough", "DebuggerBrowsable", "DebuggerNonUserCode", "EditorBrowsable", "ExcludeFromCodeCoverage", "CompilerGenerated")
 #: Types that only the compiler refers to.
-COMPILER_TYPES = {
-    "System.Runtime.CompilerServices": ("IsExternalInit", "RequiredMemberAttribute", "CompilerFeatureRequiredAttribute", "ModuleInitializerAttribute"),
-    "System.Diagnostics.CodeAnalysis": ("AllowNullAttribute", "DisallowNullAttribute", "DoesNotReturnAttribute", "DoesNotReturnIfAttribute", "MaybeNullAttribute", "MaybeNullWhenAttribute", "MemberNotNullAttribute", "MemberNotNullWhenAttribute", "NotNullAttribute", "NotNullIfNotNullAttribute", "NotNullWhenAttribute"),
-}
+COMPILER_TYPES = (
+    "System.Runtime.CompilerServices.IsExternalInit",
+    "System.Runtime.CompilerServices.RequiredMemberAttribute",
+    "System.Runtime.CompilerServices.CompilerFeatureRequiredAttribute",
+    "System.Runtime.CompilerServices.ModuleInitializerAttribute",
+    "System.Diagnostics.CodeAnalysis.AllowNullAttribute",
+    "System.Diagnostics.CodeAnalysis.DisallowNullAttribute",
+    "System.Diagnostics.CodeAnalysis.DoesNotReturnAttribute",
+    "System.Diagnostics.CodeAnalysis.DoesNotReturnIfAttribute",
+    "System.Diagnostics.CodeAnalysis.MaybeNullAttribute",
+    "System.Diagnostics.CodeAnalysis.MaybeNullWhenAttribute",
+    "System.Diagnostics.CodeAnalysis.MemberNotNullAttribute",
+    "System.Diagnostics.CodeAnalysis.MemberNotNullWhenAttribute",
+    "System.Diagnostics.CodeAnalysis.NotNullAttribute",
+    "System.Diagnostics.CodeAnalysis.NotNullIfNotNullAttribute",
+    "System.Diagnostics.CodeAnalysis.NotNullWhenAttribute",
+)
 #: Members that live with their type because no call names them.
 STRUCTURAL = ("constructor", "static_constructor", "destructor", "operator", "conversion_operator", "indexer")
 RULES = ("unused-file", "unused-type", "unused-member")
@@ -174,11 +187,10 @@ def _flags(symbols: Symbols, graph: Graph, workspace: Workspace, facts: Facts, o
         with_type |= F.coalesce(F.col("p_modifiers").bitwiseAND(BIT["partial"]) != 0, F.lit(False))
     controls = lambda name, bases: F.coalesce(name.endswith("Controller") | F.exists(bases, lambda b: F.element_at(b, -1).isin("Controller", "ControllerBase")), F.lit(False))
     inert = [a + x for a in INERT_ATTRIBUTES for x in ("", "Attribute")]
-    polyfills = [f"{ns}.{n}" for ns, names in COMPILER_TYPES.items() for n in names]
     root = F.col("is_generated") | (method & has("partial") & ~F.col("has_body"))
     root |= method & ((F.col("name") == "Main") & has("static") | F.col("name").isin("ConfigureServices", "Configure"))
     root |= method & public & controls(F.col("p_name"), F.col("p_bases"))
-    root |= F.col("is_type") & (controls(F.col("name"), F.col("bases")) | (F.col("name") == "Startup") | F.col("fqn").isin(polyfills))
+    root |= F.col("is_type") & (controls(F.col("name"), F.col("bases")) | (F.col("name") == "Startup") | F.col("fqn").isin(*COMPILER_TYPES))
     root |= F.exists("attributes", lambda a: ~a.isin(inert)) | F.coalesce("scanned", F.lit(False))
     contract = F.lit(library) & ~F.coalesce(F.col("project").isin(tests), F.lit(False)) if tests else F.lit(library)
     if shipped:

@@ -15,7 +15,7 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.functions.scalars import glob_regex
+from lodework.functions.scalars import GENERATED_SUFFIXES, glob_regex
 
 #: Larger sources are left out.
 MOST_BYTES = 5 * 1024 * 1024
@@ -174,13 +174,9 @@ def _obj_sources(folder: str) -> list[str]:
     return out
 
 
-#: Endings of generated files.
-_GENERATED = (".g.cs", ".g.i.cs", ".generated.cs", ".designer.cs", ".assemblyinfo.cs", ".assemblyattributes.cs")
-
-
 def is_generated(path: str) -> bool:
     low = path.lower()
-    return low.endswith(_GENERATED) or "obj" in low.split("/")
+    return low.endswith(GENERATED_SUFFIXES) or "obj" in low.split("/")
 
 
 def _claims(project: Project, path: str) -> str:
