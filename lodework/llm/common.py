@@ -133,6 +133,6 @@ def bounded_sample(rows: DataFrame, group: str, key: str, most: int, seed: str):
     for value, n in counts.items():
         test = test | ((F.col(group) == F.lit(value)) & (u < min(1.0, (1.2 * most + 20) / n)))
     found = defaultdict(list)
-    for r in rows.filter(test).select("*", u).toLocalIterator():
+    for r in rows.filter(test).select("*", u).collect():  # bounded, see above
         found[r[group]].append((r["__u"], str(r[key]), r))
     return {g: [x[2] for x in sorted(v, key=lambda x: x[:2])[:most]] for g, v in found.items()}

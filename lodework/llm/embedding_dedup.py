@@ -128,7 +128,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", e
     good = rows.filter("id is not null and v is not null")
     classes = scratch.save(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "classes")
     n = classes.count()
-    sampled = [np.frombuffer(r["v"]) for r in classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * index.sample / max(1, n)))).select("v").limit(index.sample).toLocalIterator()]
+    # At most about 1.1 * sample rows reach the driver.
+    sampled = [np.frombuffer(r["v"]) for r in sorted(classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 52)) < int((1 << 52) * min(1.0, 1.1 * index.sample / max(1, n)))).select("rep", "v").collect(), key=lambda r: r["rep"])[: index.sample]]
     k = int(min(index.most_cells, max(index.least_cells, 2 * n**0.5), max(1, len(sampled))))
     centers = _kmeans(np.array(sampled), k, index.seed) if sampled else np.zeros((1, dim))
     turn = rotation(dim, index.seed)

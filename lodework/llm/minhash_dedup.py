@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     copies = scratch.save(full.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep"), "copies")
     reps = scratch.save(full.join(copies.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "bands").dropDuplicates(["id"]), "reps")
     entries = reps.count() * bands.bands
-    buckets = 1 << max(4, (max(entries // 500_000, 2 * partitions(docs.sparkSession)) - 1).bit_length())
+    buckets = 1 << max(4, (max(entries // 2_000_000, 2 * partitions(docs.sparkSession)) - 1).bit_length())
     stars = scratch.save(star_edges(reps, buckets, bands), "stars")
     ends = scratch.save(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ends")
     sets = scratch.save(full_sets(ends, docs, bands, key, text), "sets")

@@ -280,7 +280,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     packs = scratch.save(pack_documents(docs, key, text, pack_bytes), "packs")
     total = packs.agg(F.sum("n_words")).first()[0] or 0
     least = max(16, 2 * partitions(docs.sparkSession))
-    bits = min(20, (max(total // ENTRIES, least) - 1).bit_length())
+    bits = min(24, (max(total // ENTRIES, least) - 1).bit_length())
     found = scratch.save(hits(probes(packs, window, block, bits)), "hits")
     # Packs without a hit in another pack can still repeat within themselves; kept_words sees to that.
     windows = extended(_collected(packs, found), window, block, bits, bits)

@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return ToxicityModel()
     wanted = docs.sparkSession.createDataFrame(ids, [key, "__toxic"])
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(wanted), key)  # 2 * sample_docs rows at most
-    rows = sorted({(str(r[key]), r["__t"], r["__toxic"]) for r in texts.toLocalIterator()})
+    rows = sorted({(str(r[key]), r["__t"], r["__toxic"]) for r in texts.collect()})
     order = sorted(rows, key=lambda r: (hash_of(r[0]), r))
     return train([(t, y) for _, t, y in order])
 
