@@ -15,7 +15,7 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.functions.scalars import GENERATED_SUFFIXES, glob_regex
+from lodework.functions.scalars import GENERATED_SUFFIXES
 
 #: Larger sources are left out.
 MOST_BYTES = 5 * 1024 * 1024
@@ -280,7 +280,3 @@ def deepest_prefix(files: DataFrame, id_: str, path: str, roots: DataFrame, pref
     each = each.select(id_, "__e.depth", f"__e.{prefix}")
     best = each.join(roots.select(prefix).distinct(), prefix).groupBy(id_).agg(F.max_by(prefix, "depth").alias(prefix))
     return files.select(id_).join(best, id_, "left")
-
-
-def ignored_by(globs: list[str], rel: str) -> bool:
-    return any(re.match(r, rel) for r in map(glob_regex, globs) if r)
