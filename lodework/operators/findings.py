@@ -29,6 +29,11 @@ def markers(lines: DataFrame, word: str = "lodework", rules: list[str] | None =
     return m.select("file", (F.col("line") + F.when(F.col("form") == "off-next", 1).otherwise(0)).alias("line"), "rule").distinct()
 
 
+def unknown_rules(lines: DataFrame, rules: list[str], word: str = "lodework") -> DataFrame:
+    """(file, line, rule) of markers that name a rule there is none of."""
+    return markers(lines, word).filter(F.col("rule").isNotNull() & ~F.col("rule").isin(rules))
+
+
 def unmarked(findings: DataFrame, marks: DataFrame, file_wide: tuple[str, ...] = FILE_WIDE) -> DataFrame:
     """Findings (file, line, kind) that no mark (file, line, rule) switches off: two anti-joins, the marks of file-wide kinds match by file."""
     m = marks.select(F.col("file").alias("__f"), F.col("line").alias("__l"), F.col("rule").alias("__r"))

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from lodework.functions.tables import Scratch
 from lodework.lang.extract import Facts, extract
+from lodework.operators.findings import unknown_rules
 from lodework.plans import dead_code, dupes, health
 from lodework.report import documents
 from lodework.sources import config, history
@@ -39,6 +40,11 @@ class Session:
             self._files = self.scratch.save(source_files(self.spark, self.workspace), "files")
         return self._files
 
+    def warn_of_unknown_rules(self) -> None:
+        known = [*dead_code.RULES, *health.KINDS]
+        rows = unknown_rules(self.facts.markers, known).orderBy("file", "line", "rule").collect()
+        self.warnings += [w for r in rows if (w := f"{r['file']}:{r['line']}: unknown rule {r['rule']} in a marker") not in self.warnings]
+
     @property
     def facts(self) -> Facts:
         if self._facts is None:
@@ -54,6 +60,7 @@ def run_dead_code(s: Session, aggressive: bool = False, roots: tuple[str, ...] |
     """Arguments come before settings; aggressive is either's."""
     began, c = time.time(), s.config
     options = dead_code.Options(aggressive or c.aggressive, tuple(roots if roots is not None else c.roots), tuple(libraries if libraries is not None else c.libraryProjects), tuple(c.ignored("deadCode")))
+    s.warn_of_unknown_rules()
     found = dead_code.dead_code(s.workspace, s.facts, s.scratch, options)
     return documents.dead_code(s.workspace, found, int(1000 * (time.time() - began)))
 
@@ -73,6 +80,7 @@ def run_health(s: Session, limits: dict[str, int] | None = None, exclude_tests:
     known = {"complexity": c.maxComplexity, "cognitive": c.maxCognitive, "method_lines": c.maxMethodLines, "parameters": c.maxParameters, "file_lines": c.maxFileLines, "type_members": c.maxTypeMembers}
     values = {k: v for k, v in known.items() if v is not None} | {k: v for k, v in (limits or {}).items() if v is not None}
     commits, walked = None, None
+    s.warn_of_unknown_rules()
     if hotspots:
         commits, walked, warnings = history.commits(s.spark, s.workspace.root)
         s.warnings += [w for w in warnings if w not in s.warnings]

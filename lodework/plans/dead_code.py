@@ -227,7 +227,7 @@ def dead_code(workspace: Workspace, facts: Facts, scratch: Scratch, options: Opt
     none = F.lit(None).cast("string")
     file_rows = files.select(F.lit("unused-file").alias("kind"), none.alias("symbol_kind"), rel("path").alias("name"), "project", F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("col"), none.alias("visibility"))
     rows = dead.join(files.select("file_id"), "file_id", "left_anti").select(F.when(F.col("is_type"), "unused-type").otherwise("unused-member").alias("kind"), F.col("kind").alias("symbol_kind"), F.col("display").alias("name"), "project", F.col("path").alias("file"), "line", "col", "visibility")
-    found = unmarked(file_rows.unionByName(rows), markers(facts.markers, "lodework", list(RULES)), ("unused-file",))
+    found = unmarked(file_rows.unionByName(rows), markers(facts.markers, rules=list(RULES)), ("unused-file",))
     found = not_ignored(found.withColumn("__rel", rel("file")), "__rel", list(options.ignore)).drop("__rel")
     found = scratch.save(found, "findings")
     counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}

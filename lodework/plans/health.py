@@ -132,7 +132,7 @@ def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Option
     found = member_findings(facts, table, options.limits, outside).unionByName(file_findings(facts, options.limits, workspace.root, outside)).unionByName(type_findings(table, options.limits, outside))
     globs = list(options.ignore)
     found = findings.not_ignored(found.withColumn("__rel", _relative("file", workspace.root)), "__rel", globs).drop("__rel")
-    found = findings.unmarked(found, findings.markers(facts.markers, "lodework", list(KINDS)), ("large-file",))
+    found = findings.unmarked(found, findings.markers(facts.markers, rules=list(KINDS)), ("large-file",))
     rings = scratch.save(cycles(table, edges, outside, scratch), "cycles")
     if globs:
         n = len(workspace.root) + 2

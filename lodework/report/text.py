@@ -23,7 +23,7 @@ def dead_code(doc: dict) -> str:
         rows = [f for f in doc["findings"] if f["kind"] == kind]
         if rows:
             out += [f"{title} ({len(rows)})"]
-            out += [f"  {f['name']}" if kind == "unused-file" else f"  {f['file']}:{f['line']}:{f['column']}  {f.get('visibility', '')} {f['symbolKind']} {f['name']}" for f in rows]
+            out += [f"  {f['name']}" if kind == "unused-file" else f"  {f['file']}:{f['line']}:{f['column']}  {f.get('visibility', '')} {f['symbolKind'].replace('_', ' ')} {f['name']}" for f in rows]
     out += [f"note: {n}" for n in doc["notes"]]
     s = doc["summary"]
     out.append(f"{s['unusedFiles']} files, {s['unusedTypes']} types, {s['unusedMembers']} members unused; {s['projects']} projects, {s['filesScanned']} files, {s['symbols']} symbols in {s['elapsedMs']} ms")

@@ -158,6 +158,7 @@ def test_findings(spark):
     lines = [("a", 1, "x(); // lodework:off"), ("a", 5, "// lodework:off-next r1,r2 why"), ("b", 2, '"http://h // lodework:off"'), ("b", 3, "// lodework:off nothing-known"), ("c", 1, "// lodework:offx")]
     marks = findings.markers(spark.createDataFrame(lines, "file string, line int, content string"), rules=["r1", "r2"])
     assert sorted(map(str, ((m.file, m.line, m.rule) for m in marks.collect()))) == sorted(map(str, [("a", 1, None), ("a", 6, "r1"), ("a", 6, "r2")]))
+    assert [(m.file, m.line, m.rule) for m in findings.unknown_rules(spark.createDataFrame(lines, "file string, line int, content string"), ["r1", "r2"]).collect()] == [("b", 3, "nothing-known")]
     f = spark.createDataFrame([("a", 1, "r3"), ("a", 6, "r1"), ("a", 6, "r3"), ("a", 9, "large-file"), ("b", 3, "r1")], "file string, line int, kind string")
     assert sorted(map(tuple, findings.unmarked(f, marks).collect())) == [("a", 6, "r3"), ("b", 3, "r1")]
     now = spark.createDataFrame([("k", "a", 5), ("k", "a", 9), ("k", "b", 1)], "kind string, name string, metric int")
