@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodework.llm.common import WORD, Scratch
 
-KEY_BUCKETS = 1 << 16
+KEY_BUCKETS = 1 << 12
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_EPOCHS = 1.5, 2.0
 
