@@ -135,6 +135,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, unchanged."""
-    columns = docs.columns
-    judged = quality_rules(docs.withColumn("__text", F.col("text")), text="__text")
-    return judged.filter("kept").select(*columns)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))  # whatever the columns are called
+    return quality_rules(packed, text="__text").filter("kept").select("__row.*")

@@ -97,13 +97,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each whole copy, and the one that a budget ends in cut after its last word that is taken."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    mixed = mix(docs, Scratch(spark, "mix-stage")).withColumn("__whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int"))
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))  # whatever the other columns are called
+    mixed = mix(packed, Scratch(spark, "mix-stage")).withColumn("__whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int"))
     mixed = mixed.withColumn("__cut", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int"))
     whole = mixed.filter("__whole > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__whole"))))
     cut = mixed.filter("__cut > 0").withColumn("text", F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("__cut")), ""), r"[\x20\x09-\x0D]+$", ""))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return whole.select("__row.*").unionByName(cut.select(*[(new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns]))
 
 
 ORACLE = r"""

@@ -392,7 +392,13 @@ def test_pipeline(spark, tmp_path):
         words = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(r.randint(20, 200))]
         rows.append((i, " ".join(words) + (" token = 'abcdef123456'" if i % 3 == 0 else ""), "en", f"s{i % 4}", 0))
     rows += [(100 + i, rows[i][1], "en", "s9", 0) for i in range(10)] + [(200, None, None, None, None), (201, "", "en", None, 0)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.createDataFrame(rows, SCHEMA)
+    clash = table.selectExpr("*", "doc_id as size", "doc_id as taken", "doc_id as ratio", "doc_id as kept", "doc_id as spans", "doc_id as component_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, str(tmp_path))
+        assert after.columns == clash.columns and after.filter("size <> doc_id or taken <> doc_id or kept <> doc_id").count() == 0 < after.count()
+        assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0
+    table.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(x.round_trip for x in out)
     # Brute force: quality, near duplicates, masks; then the mix's own budgets.
