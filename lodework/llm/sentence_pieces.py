@@ -27,7 +27,7 @@ from lodework.llm.common import with_columns
 
 SPACE = "▁"
 #: Words, pairs of neighbouring pieces, and beginnings of words that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS = 600_000, 150_000, 200_000
+CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS = 500_000, 150_000, 200_000
 #: Lengths of beginnings of words whose part of the lattice is remembered, as many words share them.
 HEADS = (10, 8, 6, 4)
 UNIGRAM, BPE = 1, 2
@@ -72,7 +72,8 @@ def _model_type(proto: bytes) -> int:
 class Pieces:
     """A model's vocabulary; encode() and decode() of whole texts."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, proto: bytes | None = None, cache: float = 1.0):
+        """cache: times the usual sizes of the caches, which take about 200 MB in all."""
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto) if proto else sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,7 +92,8 @@ class Pieces:
         self.starts_with_blank = self.lib.normalize("a").startswith(SPACE)
         #: Where no piece has a blank after another character, a blank after one is a boundary of every path.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not any(SPACE in p.lstrip(SPACE) for p in self.id) else lambda t: [t]
-        self.most, self.words, self.older, self.pairs, self.spines, self.whole, self.heads = cache_words, {}, {}, {}, {}, {}, {}
+        self.most_words, self.most_pairs, self.most_heads = (int(cache * n) for n in (CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS))
+        self.words, self.older, self.pairs, self.spines, self.whole, self.heads = {}, {}, {}, {}, {}, {}
         #: Lengths of the pieces that end in two given characters, the longest first; shorter ones are tried always.
         ends: dict[str, set[int]] = {}
         for p in self.id:
@@ -139,7 +141,7 @@ class Pieces:
         """
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             left, right, i, j, known = self._spine(a, True), self._spine(b, False), 0, 0, True
             while True:
@@ -181,13 +183,15 @@ class Pieces:
         return known
 
     def _word(self, word: str) -> bytes:
+        if word[1:].isalpha():
+            return self.lattice.whole(word)
         joints, begin, out = self.joints, 0, []
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in joints:
                 part = word[begin:i]
                 ids = self.words.get(part) or self.older.get(part)
                 if ids is None:
-                    ids = array("I", self.lattice.feed(part) + self.lattice.close()).tobytes()
+                    ids = self.lattice.whole(part)
                 if len(part) <= 64:
                     self.words[part] = ids
                 out.append(ids)
@@ -200,31 +204,31 @@ class Pieces:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers. Between boundaries that every path shares, words come from the cache."""
-        if len(self.words) > self.most // 2:  # two generations: words in use outlive a change
+        if len(self.words) > self.most_words // 2:  # two generations: words in use outlive a change
             self.words, self.older = {}, self.words
         words = self.cut(self.normalize(text))
         got = list(map(self.words.get, words))
-        if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    got[i] = self.words.get(words[i]) or self.older.get(words[i]) or self._word(words[i])
-                    if len(words[i]) <= 64:
-                        self.words[words[i]] = got[i]
+        at = -1
+        for _ in range(got.count(None)):
+            at = got.index(None, at + 1)
+            word = words[at]
+            got[at] = ids = self.words.get(word) or self.older.get(word) or self._word(word)
+            if len(word) <= 64:
+                self.words[word] = ids
         return b"".join(got)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        table = self.table
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.starts_with_blank and text.startswith(" ") else text
 
 
 @functools.cache
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, cache: float = 1.0) -> Pieces:
     """One for each worker process, which keeps it, and its caches, from task to task."""
-    return Pieces(path)
+    return Pieces(path, cache=cache)
 
 
 class Lattice:
@@ -270,7 +274,7 @@ class Lattice:
                     break
             piece.append(found)
         if fresh and len(text) <= 64:
-            if len(p.heads) >= CACHE_HEADS:
+            if len(p.heads) >= p.most_heads:
                 p.heads.clear()
             for n in HEADS:
                 if had < n <= len(text):
@@ -327,6 +331,23 @@ class Lattice:
         self.text, self.piece, self.total = self.text[at:], ["", *self.piece[at + 1 :]], [0.0, *(x - self.total[at] for x in self.total[at + 1 :])]
         return self.p.ids_of(path)
 
+    def whole(self, text: str) -> bytes:
+        """The ids of a stream of one text, as little-endian unsigned 32-bit integers."""
+        if self.p.kind != BPE or len(text) > 2 * self.p.longest:
+            return array("I", self.feed(text) + self.close()).tobytes()
+        self.text, self.piece = text, [""]
+        self._merges()
+        get, piece, at, ids = self.p.id.get, self.piece, len(text), []
+        while at:
+            i = get(piece[at])
+            if i is None:
+                ids = self.p.ids_of(self._path(len(text)))[::-1]
+                break
+            ids.append(i)
+            at -= len(piece[at])
+        self._reset()
+        return array("I", ids[::-1]).tobytes()
+
     def close(self) -> list[int]:
         out = self.p.ids_of(self._path(len(self.text)))
         self._reset()
@@ -340,7 +361,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids: bool = True, cache: float = 1.0) -> DataFrame:
     """docs without the text, with n_ids, ids_crc32, round_trip (the decoded ids are the text) and, if asked, ids (little-endian 32-bit).
 
     No shuffle; a worker holds one batch, the vocabulary and bounded caches. Null and empty texts
@@ -348,11 +369,11 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
     """
 
     def begin():
-        pieces = pieces_of(model)
+        pieces = pieces_of(model, cache)
 
         def one(t):
             data = pieces.encode_bytes(t) if t else b""
-            return (len(data) // 4, zlib.crc32(data), pieces.decode(np.frombuffer(data, "<u4").tolist()) == t) + ((data,) if keep_ids else ())
+            return (len(data) // 4, zlib.crc32(data), pieces.decode(memoryview(data).cast("I")) == t) + ((data,) if keep_ids else ())
 
         n = 4 if keep_ids else 3
         return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * n
@@ -377,7 +398,7 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", text: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_documents(docs, default_model(), keep_ids=False)
+    return encode_documents(docs, default_model(), keep_ids=False, cache=2.5)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
