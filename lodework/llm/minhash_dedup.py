@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     """
     rows = scratch.save(features(docs, bands, key, text), "features")
     full = rows.filter("n > 0 and id is not null")
-    classes = full.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    # Nothing that needs a key's rows together follows this join in its stage, so a very large class is split.
+    # Written first, so that nothing in the join's stage needs the rows of a key together and a very large class is split.
+    classes = scratch.save(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     copies = scratch.save(full.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep"), "copies")
     reps = scratch.save(full.join(copies.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "bands").dropDuplicates(["id"]), "reps")
     entries = reps.count() * bands.bands
