@@ -1,9 +1,10 @@
 """Quality rules (operator 10): word and line counts, and bands of zstandard ratios.
 
 A text is compressed whole and in fixed chunks. Text that says little compresses very well,
-noise such as encoded bytes hardly compresses; both leave the band that prose of that
-length lies in. Short texts carry too little context for a ratio to mean much, so the limits
-depend on the length, and texts under the shortest length are judged by the counts alone.
+noise such as base64 or random characters hardly compresses; both leave the band that prose of
+that length lies in. Short texts carry too little context for a ratio to mean much, so the limits
+depend on the length, and texts under the shortest length are judged by the counts alone. Hex
+digits compress as well as prose of less than 16 KB does, so only longer runs of them leave the band.
 """
 
 from __future__ import annotations
@@ -31,15 +32,19 @@ BLANK = b" \t\n\x0b\x0c\r"
 class Bands:
     """Limits of raw bytes over compressed bytes, by length in bytes: (shortest length, least ratio, greatest ratio).
 
-    The last row whose length a text reaches holds; shorter texts have no limits.
+    The last row whose length a text reaches holds; shorter texts have no limits. The limits lie between
+    prose (the least and greatest ratios of each language) and base64 cut into words or templated lines.
     `chunk` bytes make a chunk; `chunk_least` and `chunk_greatest` are the limits of a chunk's
     ratio, and a text is rejected when more than `chunk_share` of its full chunks pass them.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((256, 1.05, 3.5), (1024, 1.2, 4.0), (8192, 1.3, 5.0), (65536, 1.3, 8.0))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (256, 1.14, 2.6), (320, 1.2, 2.6), (384, 1.24, 2.7), (512, 1.31, 2.7), (768, 1.38, 2.8), (1024, 1.45, 3.0),
+        (2048, 1.55, 3.2), (4096, 1.65, 3.3), (8192, 1.75, 3.4), (16384, 2.05, 3.4), (65536, 2.05, 3.6),
+    )
     chunk: int = 4096
-    chunk_least: float = 1.2
-    chunk_greatest: float = 6.0
+    chunk_least: float = 1.65
+    chunk_greatest: float = 3.4
     chunk_share: float = 0.5
     level: int = 1
 

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, and on nulls, ties, repeated rows, clashing columns and empty tables."""
 
+import base64
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 from lodework.llm import embedding_dedup, language_id, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mixing, substring_dedup, token_ids, toxicity
 from lodework.llm.common import Scratch
@@ -383,6 +386,34 @@ def test_quality(spark, rows, docs, empty):
     assert got[2] == "" and got[3] in ("repeats", "repetitive") and got[1] in ("", "incompressible")
 
 
+def test_quality_bands(spark):
+    r = random.Random(3)
+    cut = lambda s, k: " ".join(s[i : i + k] for i in range(0, len(s), k))
+    made = {
+        "base64": lambda n: cut(base64.b64encode(r.randbytes(n)).decode(), 8),
+        "base64 lines": lambda n: cut(base64.b64encode(r.randbytes(n)).decode(), 76),
+        "ascii": lambda n: cut("".join(chr(r.randrange(33, 127)) for _ in range(n)), 9),
+        "template": lambda n: "".join(f"Item {r.randrange(10**6)} of product {r.randrange(1000)} costs {r.randrange(100)} dollars and ships in {r.randrange(9)} days.\n" for _ in range(n // 40)),
+        "prose": lambda n: " ".join("".join(r.choice("eeeetttaaaooinnsshhrrdlcumwfgypbvk") for _ in range(r.randint(1, 9))) for _ in range(n)),
+    }
+    rows = [(f"{what} {n}", f(n)[:n]) for what, f in made.items() for n in (600, 1500, 4500, 9000, 40000, 100000)]
+    got = {x.name: x.reason for x in quality_rules.quality_rules(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert {k: v for k, v in got.items() if k.startswith(("base64", "ascii")) and v not in ("words", "incompressible")} == {}
+    assert all(got[f"base64 {n}"] == got[f"ascii {n}"] == "incompressible" for n in (1500, 4500, 9000, 40000, 100000)) and got["base64 lines 9000"] == "incompressible"
+    assert {k: v for k, v in got.items() if k.startswith("template") and v not in ("words", "repeats", "repetitive")} == {}
+    assert {k: v for k, v in got.items() if k.startswith("prose") and not k.endswith(("40000", "100000")) and v} == {}
+    bands = quality_rules.Bands()
+    said = lambda text: quality_rules._judge(text.encode(), bands, zstandard.ZstdCompressor(level=bands.level))[3]
+    assert all(said(dict(rows)[f"template {n}"]) == "repetitive" for n in (1500, 4500, 9000, 40000, 100000)) and said(cut(r.randbytes(20000).hex(), 8)) == "incompressible"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_quality_bands_keep_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    got = quality_rules.quality_rules(docs).filter("not base_failed")
+    assert got.count() > 0 == got.filter("not kept").count()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
