@@ -195,6 +195,38 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ("float", "double"))
+def test_embedding_pairs_found_one_way(spark, kind):
+    """Few probes: pairs are missed, but what is found counts for both ends, in blocks too."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16)).astype(np.float32).astype(np.float64)
+    x[600:] = (x[:600] + 0.35 * rng.normal(size=(600, 16))).astype(np.float32 if kind == "float" else np.float64)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, x[3].tolist())], f"vec_id long, embedding array<{kind}>")
+    index = embedding_dedup.Index(probes=2, growth=0.0, least_cells=60, most_cells=60, members=16, queries=64)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(data, Scratch(spark, "t"), index=index).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x @ x.T) >= 0.9
+    np.fill_diagonal(link, False)
+    apart = [i for i in range(600) if link[i].sum() == 1 and link[i + 600].sum() == 1 and link[i, i + 600] and i != 3]
+    found = [i for i in apart if got[i].component_id == got[i + 600].component_id]
+    assert len(apart) > 100 and len(found) > len(apart) / 2
+    assert all(got[i].n_links == got[i + 600].n_links == 1 for i in found)
+    assert all(got[i].n_links == got[i + 600].n_links == 0 for i in set(apart) - set(found))
+
+
+def test_embedding_recall_by_cells():
+    """Of pairs at the threshold, unclustered: the worst case."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, g, at = unit(rng.normal(size=(3000, 64))), rng.normal(size=(3000, 64)), np.arange(3000)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * unit(g - (g * a).sum(axis=1, keepdims=True) * a)
+    for cells in (200, 1264):
+        centers = embedding_dedup._kmeans(unit(rng.normal(size=(16384, 64))), cells, 4)
+        p = embedding_dedup.Index().probed(cells)
+        u, v = embedding_dedup._nearest(a, centers, p), embedding_dedup._nearest(b, centers, p)
+        assert ((u == v[at, 0][:, None]).any(axis=1) | (v == u[at, 0][:, None]).any(axis=1)).mean() > 0.995
+
+
 def test_rotation_code_bounds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 64))
