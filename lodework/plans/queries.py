@@ -174,11 +174,12 @@ def q12(spark, d):
 CHAIN_SQL = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey % 40 = b.l_partkey % 40 AND a.l_partkey <> b.l_partkey)"
 
 
-def _chain(spark: SparkSession, d: str) -> DataFrame:
+def _chain(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Edges from the part of a line to the part of the next line of its order; unless whole, those that CHAIN_SQL keeps, as its recursion is too slow for all."""
     line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     both = line.withColumnRenamed("l_partkey", "src").join(nxt, ["l_orderkey", "l_linenumber"])
-    return both.filter("src % 40 = dst % 40 and src <> dst").select("src", "dst").distinct()
+    return both.filter("src <> dst" if whole else "src % 40 = dst % 40 and src <> dst").select("src", "dst").distinct()
 
 
 SCC_SQL = f"{CHAIN_SQL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), scc AS (SELECT a.src AS id, least(min(a.dst), a.src) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
@@ -200,7 +201,23 @@ SELECT b.component, array_to_string(b.path, ',') AS path, coalesce(string_agg(CA
 )
 def q14(spark, d):
     s = Scratch(spark, "cycles")
-    edges = s.save(_chain(spark, d))
+    return _cycles(s.save(_chain(spark, d)), s)
+
+
+@query("q38_scc_whole")
+def q38(spark, d):
+    """q13 on all next-line edges."""
+    return graph.strong_components(_chain(spark, d, True), Scratch(spark, "scc-whole"))
+
+
+@query("q39_cycle_whole")
+def q39(spark, d):
+    """q14 on all next-line edges."""
+    s = Scratch(spark, "cycles-whole")
+    return _cycles(s.save(_chain(spark, d, True)), s)
+
+
+def _cycles(edges: DataFrame, s: Scratch) -> DataFrame:
     out = graph.shortest_cycles(edges, graph.strong_components(edges, s), s)
     return out.select("component", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"))
 
@@ -370,6 +387,12 @@ def q30(spark, d):
     return findings.stale_records(recorded, found.filter("doc_id % 11 > 8"))
 
 
+@query("q40_stale_whole", f"WITH {RECORDED_SQL} SELECT kind, name, metric FROM rec WHERE (kind, name) NOT IN (SELECT (kind, name) FROM now)")
+def q40(spark, d):
+    """q30 against all findings."""
+    return findings.stale_records(*_recorded(spark, d))
+
+
 @query("q31_baseline_build", f"WITH {METRICS_SQL} SELECT kind, source AS name, max(metric) AS metric FROM f GROUP BY kind, source")
 def q31(spark, d):
     return findings.baseline_of(_tripped(spark, d).withColumnRenamed("source", "name"))

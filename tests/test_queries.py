@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 from pathlib import Path
 
 import duckdb
@@ -35,3 +36,27 @@ def test_query(spark, name):
         assert got == want
     else:
         assert got
+
+
+def test_whole_graph(spark, tmp_path):
+    """Strong components and shortest cycles of all next-line edges, by brute force; ids with different residues, so q13's filter drops all."""
+    r = random.Random(2)
+    lines = [(o, n, r.randrange(1, 14)) for o in range(16) for n in range(1, r.randint(3, 5))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    at = {(o, n): p for o, n, p in lines}
+    edges = {(p, at[o, n + 1]) for (o, n), p in at.items() if (o, n + 1) in at and at[o, n + 1] != p}
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    scc = {a: min(b for x, b in reach if x == a and (b, a) in reach) for a, b in reach if (b, a) in reach and a != b}
+    assert scc and QUERIES["q13_scc"](spark, str(tmp_path)).count() == 0
+    assert {(x.id, x.component) for x in QUERIES["q38_scc_whole"](spark, str(tmp_path)).collect()} == set(scc.items())
+    got = {x.component: (x.path, x.others) for x in QUERIES["q39_cycle_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for c in set(scc.values()):
+        members, layer, closed = sorted(k for k, v in scc.items() if v == c), [[c]], []
+        while not closed:
+            closed = sorted(p for p in layer if len(p) > 1 and (p[-1], c) in edges)
+            layer = [[*p, b] for p in layer for a, b in edges if a == p[-1] and b in members and b not in p]
+        want[c] = (",".join(map(str, closed[0])), ",".join(str(m) for m in members if m not in closed[0]))
+    assert got == want
