@@ -109,6 +109,9 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
+            if "\0" in t or "\1" in t:  # the marks of the cache
+                rest.append(i)
+                continue
             pieces = ("\0" + t.replace("\n", " \n")).split(" ")
             got = list(map(get, pieces))
             if None in got:

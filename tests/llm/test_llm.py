@@ -71,6 +71,16 @@ def test_token_ids(spark, rows, docs, empty):
     assert token_ids.read_documents(Scratch(spark, "t").save(token_ids.encode_documents(empty, token_ids.default_tokenizer()), "none")).count() == 0
 
 
+def test_token_ids_of_control_characters():
+    from tokenizers import Tokenizer
+
+    lib, texts = Tokenizer.from_file(token_ids.default_tokenizer()), ["one, two", "a \0b", "\0b", "one \1, two", "\1,", "a \1", "b, \0\1"]
+    for order in (texts, texts[::-1]):
+        encoder = token_ids.Encoder(token_ids.default_tokenizer())
+        for t in order * 2:
+            assert np.frombuffer(encoder([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_token_pieces_and_random_access(tmp_path):
     from tokenizers import Tokenizer
 
