@@ -61,7 +61,7 @@ def extract(files: DataFrame, scratch: Scratch) -> Facts:
     made = scratch.save(files.select("file_id", "path", "project", "is_generated", "content").mapInArrow(run, FACTS), "facts")
     decls = made.select("file_id", "path", "project", "generated_path", "is_generated", F.inline("decls"))
     refs = made.select("file_id", "project", "has_errors", F.inline("refs")).withColumnRenamed("path", "segments")
-    usings = made.select("file_id", "project", F.inline("usings"))
+    usings = made.select("file_id", "project", F.posexplode("usings").alias("n", "u")).select("file_id", "project", "n", "u.*")
     text = made.select(F.col("path").alias("file"), F.explode("lines").alias("x"))
     lines = text.select("file", F.substring_index("x", ":", 1).cast("int").alias("line"), F.expr("substr(x, instr(x, ':') + 1)").alias("content"))
     return Facts(made.drop("decls", "refs", "usings", "lines"), decls, refs, usings, lines)

@@ -1,23 +1,24 @@
 """Repeated runs of tokens: keys, repeated k-grams, maximal repeats, line snapping, impact and cover.
 
 A repeat of k tokens or more begins with a repeated k-gram, so only positions inside repeated
-k-grams matter. The regions of such positions that share a k-gram, directly or through others,
-form a family; every maximal repeat lies in one family, and each family is refined by itself.
+k-grams matter, and it begins with one that different tokens stand before. Tokens are handled as
+one chain of hashes a file: they become rows only where they repeat.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodework.functions import words as W
+from lodework.functions.arrow import raw, slices
 from lodework.functions.tables import Scratch
-from lodework.functions.words import mix, runs
 from lodework.operators.graph import components
 
 #: A group is kept if one of its occurrences has less than this share of its tokens in kept ones.
@@ -37,22 +38,76 @@ def token_key(kind: Column, text: Column, mode: str = "exact") -> Column:
     return full if mode == "exact" else F.when(kind.isin("identifier", "integer_literal", "real_literal"), kind).otherwise(full)
 
 
-def kgrams(tokens: DataFrame, id_: str, k: int, token: str = "token") -> DataFrame:
-    """(id, pos, gram, left): the hash of the k tokens from each position on, and of the token before (at the beginning of a file, of the file).
+def text_sequences(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, h): the hashes of a text's words, 64 bits each, as one binary. Narrow, and nothing but the text is read."""
 
-    One shuffle, by file; hashes are computed for all positions of a file at once.
-    """
-    kind = dict(tokens.dtypes)[id_]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = raw(batch.column(1))
+            starts, ends, first = W.words(data, offsets)
+            h = W.word_hashes(data, starts, ends).tobytes()
+            out = pa.array([h[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[id_, "h"])
+
+    return docs.select(F.col(id_), F.col(text).alias("text")).mapInArrow(run, f"`{id_}` {dict(docs.dtypes)[id_]}, h binary")
+
+
+def text_lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, line, first, last): of each line with words its number from 1 and the positions of its first and last word, as arrays in order. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = raw(batch.column(1))
+            starts, _, begin = W.words(data, offsets)
+            breaks, rows = np.flatnonzero(data == 10), []
+            for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                line = np.searchsorted(breaks, starts[a:b]) - np.searchsorted(breaks, offsets[i]) + 1
+                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if b > a else np.zeros(0, np.int64)
+                rows.append((line[first].tolist(), first.tolist(), [*(first[1:] - 1).tolist(), b - a - 1] if b > a else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[c] for r in rows], pa.list_(pa.int32())) for c in range(3)], names=[id_, "line", "first", "last"])
+
+    return docs.select(F.col(id_), F.col(text).alias("text")).mapInArrow(run, f"`{id_}` {dict(docs.dtypes)[id_]}, line array<int>, first array<int>, last array<int>")
+
+
+def token_sequences(tokens: DataFrame, id_: str, token: str = "token") -> DataFrame:
+    """(id, h) as text_sequences gives it, of a table of tokens (id, pos, token): one shuffle, by file."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
-        h = mix(t.column("h").to_numpy().view(np.uint64))
-        grams = runs(h, k)
-        n = len(grams)
-        left = np.concatenate([mix(np.uint64(pd.util.hash_array(np.array([str(t.column(id_)[0])], object))[:1]) ^ np.uint64(0x5BD1E995)), h[: max(0, n - 1)]])[:n]
-        return pa.table({id_: t.column(id_)[:n], "pos": t.column("pos")[:n], "gram": pa.array(grams.view(np.int64)), "left": pa.array(left.view(np.int64))})
+        return pa.table({id_: t.column(id_)[:1], "h": pa.array([t.column("h").to_numpy().tobytes()], pa.binary())})
+
+    return tokens.select(id_, "pos", F.xxhash64(token).alias("h")).groupBy(id_).applyInArrow(run, f"`{id_}` {dict(tokens.dtypes)[id_]}, h binary")
+
 
-    return tokens.select(id_, "pos", F.xxhash64(token).alias("h")).groupBy(id_).applyInArrow(run, f"`{id_}` {kind}, pos int, gram long, left long")
+def token_lines(tokens: DataFrame, id_: str) -> DataFrame:
+    """(id, line, first, last) as text_lines gives it, of a table of tokens (id, pos, line)."""
+    each = tokens.groupBy(id_, "line").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    rows = each.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("first", "last", "line"))).alias("r"))
+    return rows.select(id_, *[F.col(f"r.{c}").cast("array<int>").alias(c) for c in ("line", "first", "last")])
+
+
+def kgrams(sequences: DataFrame, id_: str, k: int) -> DataFrame:
+    """(id, pos, gram, left): the hash of the k tokens from each position on, and of the token before (at the beginning of a file, of the file). Narrow."""
+    kind = dict(sequences.dtypes)[id_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            ends, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:  # a bounded number of tokens at once
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + W.BLOCK, "right")))
+                part, first = batch.slice(at, to - at), np.concatenate([[0], np.cumsum(sizes[at:to])])
+                h, begin = np.frombuffer(b"".join(x or b"" for x in part.column(1).to_pylist()), np.uint64), part.column(2).to_numpy().view(np.uint64)
+                at, where = to, np.flatnonzero(W.inside(first, k))
+                if not len(where):
+                    continue
+                of = W.text_of(first)[where]
+                pos = where - first[of]
+                left = np.where(pos == 0, W.mix(begin[of] ^ np.uint64(0x5BD1E995)), h[np.maximum(where, 1) - 1])
+                columns = [part.column(0).take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(W.windows(h, k)[where].view(np.int64)), pa.array(left.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_, "pos", "gram", "left"])
+
+    return sequences.select(id_, "h", F.xxhash64(F.col(id_).cast("string")).alias("begin")).mapInArrow(run, f"`{id_}` {kind}, pos int, gram long, left long")
 
 
 def repeated_kgrams(grams: DataFrame, least: int = 2) -> DataFrame:
@@ -61,91 +116,119 @@ def repeated_kgrams(grams: DataFrame, least: int = 2) -> DataFrame:
     return many.filter(F.col("n_occurrences") >= least).withColumn("left_maximal", F.col("__a") != F.col("__b")).drop("__a", "__b")
 
 
-def intervals(sequences: list[np.ndarray], k: int, least: int, starts: list[range]) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(sequence, position)]) of every repeat of k tokens or more that can't be extended to the right or left with all its occurrences.
+def intervals(suffixes: list[bytes], left: np.ndarray, k: int, least: int) -> list[tuple[int, np.ndarray]]:
+    """(length, members) of every run of k tokens or more that begins some of the suffixes and can't be extended to the right or left in all of them.
 
-    Classes of equal runs are refined token by token: a class splits by the next token; where it
-    splits, or an occurrence ends, the run is right-maximal. The beginning and the end of each
-    sequence differ from everything. Runs begin at the given positions; what lies around them is context.
+    A suffix is a chain of 8-byte tokens. Sorted, suffixes that share a beginning lie side by side, so the
+    runs are the intervals between drops of the length that neighbours share. Each suffix ends differently
+    from every other; an interval counts if not all of its members have the same left neighbour.
     """
-    at = defaultdict(list)
-    for s, x in enumerate(sequences):
-        for p in starts[s]:
-            at[tuple(x[p : p + k].tolist())].append((s, p))
-    out, work = [], [(k, v) for v in at.values() if len(v) >= least]
-    while work:
-        length, places = work.pop()
-        while True:
-            nxt = defaultdict(list)
-            for n, (s, p) in enumerate(places):
-                x = sequences[s]
-                nxt[int(x[p + length]) if p + length < len(x) else ("end", n)].append((s, p))
-            if len(nxt) > 1:
-                break
-            length += 1
-        left = {int(sequences[s][p - 1]) if p else ("begin", s) for s, p in places}
-        if len(left) > 1:
-            out.append((length, sorted(places)))
-        work += [(length + 1, v) for v in nxt.values() if len(v) >= least]
+    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+    turns = np.concatenate([[0], np.cumsum(left[order][1:] != left[order][:-1])])
+    out, stack = [], []
+    for i in range(1, len(order) + 1):
+        shared, begin = -1, i - 1
+        if i < len(order):
+            x, y = (np.frombuffer(suffixes[order[j]], np.uint64) for j in (i - 1, i))
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(x[:n] != y[:n])
+            shared = int(differ[0]) if len(differ) else n
+        while stack and stack[-1][0] > shared:
+            length, begin = stack.pop()
+            if length >= k and i - begin >= least and turns[i - 1] > turns[begin]:
+                out.append((length, order[begin:i]))
+        if not stack or stack[-1][0] < shared:
+            stack.append((shared, begin))
     return out
 
 
-def maximal_repeats(tokens: DataFrame, id_: str, k: int, scratch: Scratch, least: int = 2, token: str = "token") -> DataFrame:
+def maximal_repeats(sequences: DataFrame, id_: str, k: int, scratch: Scratch, least: int = 2) -> DataFrame:
     """(group, length, occurrences [(id, pos)]) of the maximal repeats of k tokens or more.
 
-    Families are connected components of regions over shared k-grams; a family is one group of the
-    last step, so its size, repeated text of one kind, bounds the memory of a task.
+    Every maximal repeat begins with a k-gram before which different tokens stand, so the work is split by
+    these k-grams: each one's occurrences, with the tokens that follow as long as k-grams repeat, are
+    one group. Its size, the repeated text that begins with one k-gram, bounds the memory of a task.
     """
-    kind = dict(tokens.dtypes)[id_]
-    grams = scratch.save(kgrams(tokens, id_, k, token), "grams")
-    many = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("gram")
-    hits = grams.join(many, "gram").select(id_, "pos", "gram")
-    w = Window.partitionBy(id_).orderBy("pos")
-    hits = hits.withColumn("__new", F.coalesce(F.col("pos") - F.lag("pos").over(w) > 1, F.lit(True)).cast("int"))
-    hits = scratch.save(hits.withColumn("start", F.max(F.when(F.col("__new") == 1, F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))), "hits")
-    region = F.xxhash64(F.col(id_).cast("string"), F.col("start")).alias("region")
-    hub = hits.groupBy("gram").agg(F.min(region).alias("__hub"))
-    links = hits.select("gram", region).distinct().join(hub, "gram").select(F.col("region").alias("a"), F.col("__hub").alias("b"))
-    families = components(links, scratch)
-    regions = hits.groupBy(id_, "start").agg(F.max("pos").alias("last")).withColumn("region", region)
-    regions = regions.join(families.select(F.col("id").alias("region"), "component"), "region", "left").withColumn("family", F.coalesce("component", "region")).drop("component")
-    spans = regions.select(F.col(id_).alias("__i"), "start", "last", "family")
-    # One token before and after each region says where repeats end.
-    near = (F.col(id_) == F.col("__i")) & (F.col("pos") >= F.col("start") - 1) & (F.col("pos") <= F.col("last") + k)
-    rows = tokens.select(id_, "pos", F.xxhash64(token).alias("h")).join(spans, near).select("family", id_, "start", "last", "pos", "h")
+    kind = dict(sequences.dtypes)[id_]
+    grams = kgrams(sequences, id_, k)
+    many = scratch.save(repeated_kgrams(grams, least).select("gram", "left_maximal"), "repeated")
+    hits = scratch.save(grams.join(many, "gram"), "hits")
+    place = F.array_sort(F.collect_list(F.struct("pos", "gram", "left", "left_maximal"))).alias("at")
+    per = hits.groupBy(id_).agg(place).join(sequences, id_)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, h = batch.column(1)[i].values, batch.column(2)[i].as_py()
+                pos, first = at.field("pos").to_numpy(), at.field("left_maximal").to_numpy(zero_copy_only=False)
+                ends = np.append(np.flatnonzero(np.diff(pos) > 1), len(pos) - 1)
+                last = pos[ends[np.searchsorted(ends, np.arange(len(pos)))]] + k  # where the region of repeated k-grams ends
+                take = np.flatnonzero(first)
+                if not len(take):
+                    continue
+                chains = [h[8 * int(pos[j]) : 8 * int(last[j])] for j in take]
+                ids = pa.array([batch.column(0)[i].as_py()] * len(take), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([at.field("gram").take(pa.array(take)), ids, pa.array(pos[take]), at.field("left").take(pa.array(take)), pa.array(chains, pa.binary())], names=["gram", id_, "pos", "left", "chain"])
+
+    chains = per.select(id_, "at", "h").mapInArrow(follow, f"gram long, `{id_}` {kind}, pos int, left long, chain binary")
 
     def refine(t: pa.Table) -> pa.Table:
-        d = t.to_pandas().sort_values([id_, "start", "pos"], kind="stable")
-        ids, seqs, starts = [], [], []
-        for (i, start), part in d.groupby([id_, "start"], sort=True):
-            first = int(part["pos"].iloc[0])
-            ids.append((i, first))
-            seqs.append(part["h"].to_numpy())
-            starts.append(range(start - first, int(part["last"].iloc[0]) - first + 1))
-        found = [(n, [(ids[s][0], ids[s][1] + p) for s, p in places]) for n, places in intervals(seqs, k, least, starts)]
-        return pa.table({"length": pa.array([n for n, _ in found], pa.int32()), "occurrences": pa.array([[{"id": i, "pos": p} for i, p in v] for _, v in found], pa.list_(pa.struct([("id", t.schema.field(id_).type), ("pos", pa.int32())])))})
+        t = t.sort_by([(id_, "ascending"), ("pos", "ascending")])
+        ids, pos = t.column(id_).to_pylist(), t.column("pos").to_pylist()
+        found = intervals(t.column("chain").to_pylist(), t.column("left").to_numpy(), k, least)
+        return pa.table({"length": pa.array([n for n, _ in found], pa.int32()), "occurrences": pa.array([[{"id": ids[j], "pos": pos[j]} for j in np.sort(v)] for _, v in found], pa.list_(pa.struct([("id", t.schema.field(id_).type), ("pos", pa.int32())])))})
+
+    return chains.groupBy("gram").applyInArrow(refine, f"length int, occurrences array<struct<id:{kind},pos:int>>")
 
-    return rows.groupBy("family").applyInArrow(refine, f"length int, occurrences array<struct<id:{kind},pos:int>>")
 
+def _by_file(occurrences: DataFrame, lines: DataFrame, id_: str, columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """A file's occurrences, all at once, with its lines; work(columns, line, first, last) gives the columns of the schema."""
+    per = occurrences.groupBy(id_).agg(F.collect_list(F.struct(*columns)).alias("o")).join(lines, id_).select("o", "line", "first", "last", id_)
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def snapped(groups: DataFrame, tokens: DataFrame, id_: str, least_tokens: int, least_lines: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                o = batch.column(0)[i].values
+                arrays = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3)]
+                found = work(*[o.field(c).to_numpy(zero_copy_only=False) for c in columns], *arrays)
+                ids = pa.array([batch.column(4)[i].as_py()] * len(found[0]), batch.column(4).type)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found] + [ids], names=[*names, id_])
+
+    return per.mapInArrow(run, f"{schema}, `{id_}` {dict(lines.dtypes)[id_]}")
+
+
+def snapped(groups: DataFrame, lines: DataFrame, id_: str, least_tokens: int, least_lines: int) -> DataFrame:
     """Repeats cut to whole lines: from the least offset at which every occurrence begins a line to the greatest at which every one ends one.
 
-    groups: group, length, occurrences. Those under least_tokens, or with an occurrence under least_lines
-    lines, after the cut are dropped. Returns group, n_tokens, n_lines, occurrences [(id, pos, start_line, end_line)].
+    groups: group, length, occurrences; lines: as text_lines gives them. Those under least_tokens, or with
+    an occurrence under least_lines lines, after the cut are dropped. Returns group, n_tokens, n_lines,
+    occurrences [(id, pos, start_line, end_line)]. An occurrence costs the lines that it touches, found by bisection.
     """
-    lines = tokens.groupBy(F.col(id_).alias("__i"), "line").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    lines = lines.groupBy("__i").agg(F.collect_list(F.struct("line", "first", "last")).alias("ls"))
-    o = groups.select("group", "length", F.size("occurrences").alias("n"), F.explode("occurrences").alias("o")).select("group", "length", "n", F.col("o.id").alias("__i"), F.col("o.pos").alias("p"))
-    o = o.join(lines, "__i")
-    inside = lambda c: F.transform(F.filter("ls", lambda x: (x[c] >= F.col("p")) & (x[c] < F.col("p") + F.col("length"))), lambda x: F.struct(F.lit(c).alias("end"), (x[c] - F.col("p")).alias("off")))
-    # Only offsets that begin or end a line in some occurrence become rows.
-    marks = o.select("group", "n", F.inline(F.concat(inside("first"), inside("last")))).groupBy("group", "n", "end", "off").count().filter("count = n")
-    cut = marks.groupBy("group").agg(F.min(F.when(F.col("end") == "first", F.col("off"))).alias("lo"), F.max(F.when(F.col("end") == "last", F.col("off"))).alias("hi")).filter("lo <= hi")
+    o = groups.select("group", "length", F.size("occurrences").alias("n"), F.explode("occurrences").alias("o")).select("group", "length", "n", F.col("o.id").alias(id_), F.col("o.pos").alias("p"))
+
+    def marks(group, length, n, p, line, first, last):
+        out = []
+        for begins, at in ((True, first), (False, last)):
+            a, b = np.searchsorted(at, p), np.searchsorted(at, p + length)
+            of = np.repeat(np.arange(len(p)), b - a)
+            which = np.arange(len(of)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[of]
+            out.append((group[of], n[of], np.full(len(of), begins), (at[which] - p[of]).astype(np.int32)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    marked = _by_file(o, lines, id_, ["group", "length", "n", "p"], marks, "group long, n int, begins boolean, off int")
+    shared = marked.groupBy("group", "n", "begins", "off").count().filter("count = n")
+    cut = shared.groupBy("group").agg(F.min(F.when(F.col("begins"), F.col("off"))).alias("lo"), F.max(F.when(~F.col("begins"), F.col("off"))).alias("hi")).filter("lo <= hi")
     cut = cut.withColumn("n_tokens", F.col("hi") - F.col("lo") + 1).filter(F.col("n_tokens") >= least_tokens)
-    line_of = lambda c, at: F.filter("ls", lambda x: x[c] == F.col("p") + F.col(at))[0]["line"]
-    ends = o.join(cut, "group").select("group", "n_tokens", F.struct(F.col("__i").alias("id"), (F.col("p") + F.col("lo")).alias("pos"), line_of("first", "lo").alias("start_line"), line_of("last", "hi").alias("end_line")).alias("o"))
-    out = ends.groupBy("group", "n_tokens").agg(F.min(F.col("o.end_line") - F.col("o.start_line") + 1).alias("n_lines"), F.array_sort(F.collect_list("o")).alias("occurrences"))
+
+    def numbers(group, n_tokens, p, line, first, last):
+        start, end = np.searchsorted(first, p), np.searchsorted(last, p + n_tokens - 1)
+        return [group, n_tokens, p, line[start], line[end]]
+
+    snaps = o.join(cut, "group").withColumn("p", F.col("p") + F.col("lo"))
+    ends = _by_file(snaps, lines, id_, ["group", "n_tokens", "p"], numbers, "group long, n_tokens int, pos int, start_line int, end_line int")
+    each = F.struct(F.col(id_).alias("id"), "pos", "start_line", "end_line")
+    out = ends.groupBy("group", "n_tokens").agg(F.min(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"), F.array_sort(F.collect_list(each)).alias("occurrences"))
     return out.filter(F.col("n_lines") >= least_lines)
 
 
@@ -159,13 +242,16 @@ RANK = [("impact", False), ("n_tokens", False), ("occurrences", True)]
 
 def cover_greedily(groups: list[tuple[int, int, list[tuple]]]) -> list[int]:
     """Of (group, n_tokens, [(id, pos)]) in rank order, those kept: one occurrence at least less than COVERED in what is kept."""
-    claimed: dict = defaultdict(set)
-    kept = []
+    ends: dict = defaultdict(int)
+    for _, n, places in groups:
+        for i, p in places:
+            ends[i] = max(ends[i], p + n)
+    claimed, kept = {i: np.zeros(e, bool) for i, e in ends.items()}, []
     for g, n, places in groups:
-        if any(sum(p + j in claimed[i] for j in range(n)) < COVERED * n for i, p in places):
+        if any(int(claimed[i][p : p + n].sum()) < COVERED * n for i, p in places):
             kept.append(g)
             for i, p in places:
-                claimed[i].update(range(p, p + n))
+                claimed[i][p : p + n] = True
     return kept
 
 

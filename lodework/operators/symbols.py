@@ -31,21 +31,28 @@ def dense_ids(symbols: DataFrame, scratch: Scratch, order: str = "first_seen", n
     return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__i") - 1).drop("__p", "__before", "__i")  # one row a partition
 
 
-def resolved(refs: DataFrame, prefixes: Column, path: str, types: DataFrame, fqn: str, simple: str, id_: str, use_fallback: Column | None = None) -> DataFrame:
-    """(ref columns, id, how) for every type that a reference can mean: the union of all hits.
+def by_full_name(refs: DataFrame, scopes: Column, path: str, types: DataFrame, fqn: str, id_: str, keep: list[str]) -> DataFrame:
+    """(keep, id) for every type that scope.path names in full, for each scope ('' is none): one equi-join, the union of all hits."""
+    cand = refs.withColumn("__p", F.explode(F.array_distinct(scopes))).withColumn("__c", F.when(F.col("__p") == "", F.col(path)).otherwise(F.concat_ws(".", "__p", path)))
+    return cand.join(types.select(F.col(fqn).alias("__c"), F.col(id_).alias("__id")).distinct(), "__c").select(*keep, F.col("__id").alias(id_)).distinct()
 
-    Candidates are prefix.path for each prefix ('' is no prefix), looked up by full name with one
-    equi-join. References without any hit, or marked for it, fall back to types by simple
-    name, for every segment of the path.
-    """
-    r = refs.withColumn("__r", F.monotonically_increasing_id())
-    cand = r.withColumn("__p", F.explode(F.array_distinct(prefixes))).withColumn("__c", F.when(F.col("__p") == "", F.col(path)).otherwise(F.concat_ws(".", "__p", path)))
-    by_fqn = types.select(F.col(fqn).alias("__c"), F.col(id_).alias("__id")).distinct()
-    hits = cand.join(by_fqn, "__c").select(*refs.columns, F.col("__id").alias(id_)).distinct().withColumn("how", F.lit("name"))
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in refs.columns]
-    missing = refs.withColumn("__k", F.concat_ws("\1", *keys)).join(hits.select(F.concat_ws("\1", *keys).alias("__k")).distinct(), "__k", "left_anti").drop("__k")
-    if use_fallback is not None:
-        missing = missing.unionByName(refs.filter(use_fallback)).distinct()
-    by_simple = types.select(F.col(simple).alias("__s"), F.col(id_).alias("__id")).distinct()
-    loose = missing.withColumn("__s", F.explode(F.array_distinct(F.split(path, "\\.")))).join(by_simple, "__s").select(*refs.columns, F.col("__id").alias(id_)).distinct().withColumn("how", F.lit("segment"))
-    return hits.unionByName(loose)
+
+def by_segment(refs: DataFrame, path: str, types: DataFrame, simple: str, id_: str, keep: list[str]) -> DataFrame:
+    """(keep, id) for every type whose simple name is a segment of the path: what a reference that names nothing in full may mean."""
+    found = types.select(F.col(simple).alias("__s"), F.col(id_).alias("__id")).distinct()
+    return refs.withColumn("__s", F.explode(F.array_distinct(F.split(path, "\\.")))).join(found, "__s").select(*keep, F.col("__id").alias(id_)).distinct()
+
+
+def unresolved(refs: DataFrame, hits: DataFrame, key: str, use_fallback: Column | None = None) -> DataFrame:
+    """References without any hit, and those marked for the fallback whatever was found."""
+    missing = refs.join(hits.select(key).distinct(), key, "left_anti")
+    return missing if use_fallback is None else missing.unionByName(refs.filter(use_fallback).select(*missing.columns)).distinct()
+
+
+def resolved(refs: DataFrame, prefixes: Column, path: str, types: DataFrame, fqn: str, simple: str, id_: str, use_fallback: Column | None = None) -> DataFrame:
+    """(ref columns, id, how) for every type that a reference can mean: all full names that a prefix gives, else types by simple name for every segment of the path."""
+    key = F.xxhash64(*refs.columns, F.concat_ws("\1", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in refs.columns]))
+    r = refs.withColumn("__k", key)
+    hits = by_full_name(r, prefixes, path, types, fqn, id_, ["__k", *refs.columns])
+    loose = by_segment(unresolved(r, hits, "__k", use_fallback), path, types, simple, id_, refs.columns)
+    return hits.drop("__k").withColumn("how", F.lit("name")).unionByName(loose.withColumn("how", F.lit("segment")))

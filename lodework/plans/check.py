@@ -28,6 +28,7 @@ class Session:
     warnings: list[str] = field(default_factory=list)
     _files = None
     _facts: Facts | None = None
+    _built: tuple | None = None
 
     def __post_init__(self):
         self.workspace = discover(self.path)
@@ -51,6 +52,13 @@ class Session:
             self._facts = extract(self.files, self.scratch)
         return self._facts
 
+    @property
+    def built(self) -> tuple[dead_code.Symbols, dead_code.Graph]:
+        """Symbols and references, built once for dead code and health."""
+        if self._built is None:
+            self._built = dead_code.build(self.facts, self.workspace, self.scratch)
+        return self._built
+
 
 def start(spark: SparkSession, path: str, settings: str | None = None) -> Session:
     return Session(spark, path, config.parse(settings) if settings else config.find(path if os.path.exists(path) else "."))
@@ -61,7 +69,7 @@ def run_dead_code(s: Session, aggressive: bool = False, roots: tuple[str, ...] |
     began, c = time.time(), s.config
     options = dead_code.Options(aggressive or c.aggressive, tuple(roots if roots is not None else c.roots), tuple(libraries if libraries is not None else c.libraryProjects), tuple(c.ignored("deadCode")))
     s.warn_of_unknown_rules()
-    found = dead_code.dead_code(s.workspace, s.facts, s.scratch, options)
+    found = dead_code.dead_code(s.workspace, s.facts, s.scratch, options, s.built)
     return documents.dead_code(s.workspace, found, int(1000 * (time.time() - began)))
 
 
@@ -82,12 +90,12 @@ def run_health(s: Session, limits: dict[str, int] | None = None, exclude_tests:
     commits, walked = None, None
     s.warn_of_unknown_rules()
     if hotspots:
-        commits, walked, warnings = history.commits(s.spark, s.workspace.root)
+        commits, walked, warnings = history.commits(s.spark, s.workspace.root, s.scratch)
         s.warnings += [w for w in warnings if w not in s.warnings]
     options = health.Options(health.Limits(**values), exclude_tests or c.excludeTests, tuple(s.config.ignored("health")), hotspots, top, int(time.time()))
     path = baseline or (os.path.join(s.config.folder, c.baseline) if c.baseline and not write_baseline else None)
     recorded = config.load_baseline(s.spark, path) if path else None
-    found = health.health(s.workspace, s.facts, s.scratch, options, commits, recorded)
+    found = health.health(s.workspace, s.facts, s.scratch, options, commits, recorded, s.built)
     s.warnings += [f"baseline: {kind} {name} is no longer found" for kind, name in found.stale]
     tests = [p.name for p in s.workspace.projects if p.test_framework] if options.exclude_tests else None
     doc = documents.health(s.workspace, found, int(1000 * (time.time() - began)), walked, tests)

@@ -12,6 +12,7 @@ from lodework.lang.csharp import BIT
 from lodework.lang.extract import Facts
 from lodework.operators.findings import markers, not_ignored, unmarked
 from lodework.operators.graph import closure, gated_reach, reach
+from lodework.operators.symbols import by_full_name, by_segment, merged, unresolved
 from lodework.sources.workspace import Project, Workspace
 
 TYPES = ("class", "struct", "interface", "enum", "record", "delegate")
@@ -67,13 +68,10 @@ def build_symbols(facts: Facts, scratch: Scratch) -> Symbols:
     silent = F.col("modifiers").bitwiseAND(BIT["public"] | BIT["private"] | BIT["protected"] | BIT["internal"]) == 0
     d = d.withColumn("modifiers", F.when(~F.col("is_type") & (F.col("up_kind") == "interface") & silent, F.col("modifiers").bitwiseOR(BIT["public"])).otherwise(F.col("modifiers")))
     d = d.withColumn("key", F.coalesce("type_key", F.concat_ws("\1", "parent_key", "name", "kind")))
-    d = scratch.save(d.withColumn("ord", F.struct("file_id", "idx")), "decls")
+    d = scratch.save(d, "decls")
     first = ["name", "kind", "parent_key", "file_id", "path", "project", "line", "col", "namespace", "fqn", "is_type", "arity", "up_fqn", "up_kind"]
-    s = d.groupBy("key").agg(
-        F.min_by(F.struct(*first), "ord").alias("f"), F.min("ord").alias("ord"), F.bit_or("modifiers").alias("modifiers"),
-        F.array_distinct(F.flatten(F.collect_list("attributes"))).alias("attributes"), F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases"),
-        *[F.bool_or(c).alias(c) for c in ("explicit", "extension", "auto_property", "has_body", "is_generated")],
-    ).select("key", "f.*", "ord", "modifiers", "attributes", "bases", "explicit", "extension", "auto_property", "has_body", "is_generated")
+    flags = ["explicit", "extension", "auto_property", "has_body", "is_generated"]
+    s = merged(d, ["key"], ["file_id", "idx"], first=first, bits=["modifiers"], flags=flags, unions=["attributes", "bases"]).withColumnRenamed("first_seen", "ord")
     s = s.withColumn("display", F.coalesce("fqn", F.concat_ws(".", "up_fqn", "name"))).withColumn("visibility", visibility())
     return Symbols(scratch.save(s, "symbols"), d.select("file_id", "idx", "key"))
 
@@ -99,10 +97,14 @@ def build_graph(facts: Facts, symbols: Symbols, projects: list[Project], scratch
     extra = spark.createDataFrame([(i, x) for i, p in enumerate(projects) for x in p.usings], "project int, path string")
     files = facts.files.select("file_id", "project")
     shared = plain.filter("is_global").select("project", "path").filter("project is not null").union(extra).distinct()
-    everywhere = plain.filter("is_global").select("path").distinct()
-    opened = plain.select("file_id", "path").union(files.join(shared, "project").select("file_id", "path")).union(files.filter("project is null").select("file_id").crossJoin(everywhere))  # project files and using lines, few
-    opened = opened.groupBy("file_id").agg(F.collect_set("path").alias("opened"))
-    aliases = u.filter("alias is not null").groupBy("file_id", "alias").agg(F.last("path").alias("target"))
+    # Files outside projects see every file's global usings, as a project of its own.
+    shared = shared.unionByName(plain.filter("is_global").select(F.lit(-1).alias("project"), "path")).distinct()
+    shared = shared.groupBy("project").agg(F.collect_list("path").alias("shared"))
+    local = plain.groupBy("file_id").agg(F.collect_set("path").alias("local"))
+    opened = files.withColumn("project", F.coalesce("project", F.lit(-1))).join(shared, "project", "left").join(local, "file_id", "left")
+    none = F.array().cast("array<string>")
+    opened = opened.select("file_id", F.concat(F.coalesce("local", none), F.coalesce("shared", none)).alias("opened"))
+    aliases = u.filter("alias is not null").groupBy("file_id", "alias").agg(F.max_by("path", "n").alias("target"))  # the later one wins
     # Where a reference stands: the symbol, and the type around it.
     own = s.select("key", F.when(F.col("is_type"), F.col("fqn")).otherwise(F.col("up_fqn")).alias("around"), "namespace")
     r = facts.refs.join(symbols.decl_map.withColumnRenamed("idx", "origin"), ["file_id", "origin"], "left").join(own, "key", "left")
@@ -115,11 +117,11 @@ def build_graph(facts: Facts, symbols: Symbols, projects: list[Project], scratch
     r = r.select("src", "kind", "path", "has_errors", scopes.alias("scopes")).distinct().withColumn("id", F.xxhash64("src", "kind", "path", "scopes"))
     r = scratch.save(r, "refs")
     lookups = r.filter("kind <> 'Member'").withColumn("p", F.explode(F.when(F.col("kind") == "Attribute", F.array(F.col("path"), F.concat("path", F.lit("Attribute")))).otherwise(F.array("path"))))
-    cand = lookups.select("id", "src", "kind", "p", F.explode("scopes").alias("scope")).withColumn("name", F.when(F.col("scope") == "", F.col("p")).otherwise(F.concat_ws(".", "scope", "p")))
     types = s.filter("is_type").select(F.col("key").alias("dst"), "fqn", F.col("name").alias("simple"))
-    hits = scratch.save(cand.join(types.select("dst", F.col("fqn").alias("name")), "name").select("id", "src", "kind", "dst").distinct(), "hits")
-    missed = lookups.join(hits.select("id").distinct(), "id", "left_anti").unionByName(lookups.filter("has_errors")).select("src", "kind", F.split("p", "\\.").alias("segs")).distinct()
-    loose = missed.select("src", "kind", F.explode("segs").alias("simple")).join(types.select("dst", "simple"), "simple").select("src", "kind", "dst")
+    hits = scratch.save(by_full_name(lookups, F.col("scopes"), "p", types, "fqn", "dst", ["id", "src", "kind"]), "hits")
+    missed = unresolved(lookups.select("id", "src", "kind", "p", "has_errors"), hits, "id", F.col("has_errors"))
+    loose = by_segment(missed, "p", types, "simple", "dst", ["src", "kind"])
+    missed = missed.select("src", "kind", F.split("p", "\\.").alias("segs")).distinct()
     found = scratch.save(hits.select("src", "kind", "dst").union(loose).distinct(), "found")
     words = missed.filter("kind <> 'ScanTarget' and size(segs) > 1").select("src", F.explode("segs").alias("name"))
     names = r.filter("kind = 'Member'").select("src", F.substring_index("path", ".", -1).alias("name"))
@@ -127,6 +129,12 @@ def build_graph(facts: Facts, symbols: Symbols, projects: list[Project], scratch
     return Graph(found.filter("kind <> 'ScanTarget'").select("src", "dst").distinct(), names, found.filter("kind = 'ScanTarget'").select("dst").distinct())
 
 
+def build(facts: Facts, workspace: Workspace, scratch: Scratch) -> tuple[Symbols, Graph]:
+    """What dead code and health both start from."""
+    symbols = build_symbols(facts, scratch)
+    return symbols, build_graph(facts, symbols, workspace.projects, scratch)
+
+
 @dataclass
 class Options:
     aggressive: bool = False
@@ -207,10 +215,9 @@ def _flags(symbols: Symbols, graph: Graph, workspace: Workspace, facts: Facts, o
     return scratch.save(flags, "flags"), notes
 
 
-def dead_code(workspace: Workspace, facts: Facts, scratch: Scratch, options: Options = Options()) -> DeadCode:
+def dead_code(workspace: Workspace, facts: Facts, scratch: Scratch, options: Options = Options(), built: tuple[Symbols, Graph] | None = None) -> DeadCode:
     """Findings (kind, symbol_kind, name, project, file, line, col, visibility): dead files, then types and members in their order."""
-    symbols = build_symbols(facts, scratch)
-    graph = build_graph(facts, symbols, workspace.projects, scratch)
+    symbols, graph = built or build(facts, workspace, scratch)
     flags, notes = _flags(symbols, graph, workspace, facts, options, scratch)
     nodes = flags.select(F.col("key").alias("id"), F.col("parent_key").alias("parent"), "name", (~F.col("is_type")).alias("is_member"), "ungated", "root")
     children = flags.filter("with_type").select(F.col("parent_key").alias("parent"), F.col("key").alias("child"))

@@ -38,11 +38,12 @@ def duplicates(files: DataFrame, scratch: Scratch, options: Options = Options(),
     kept = files.filter(~F.col("is_generated")).filter(~any_glob(rel, list(options.ignore)))
     t = file_tokens(kept).withColumn("key", repeats.token_key(F.col("kind"), F.col("token"), options.mode))
     t = scratch.save(t, "tokens")
-    keyed = t.select("file_id", "pos", "line", F.col("key").alias("token"))
-    found = repeats.maximal_repeats(keyed, "file_id", options.min_tokens, scratch, options.min_occurrences)
+    keyed = t.select("file_id", "pos", F.col("key").alias("token"))
+    sequences = scratch.save(repeats.token_sequences(keyed, "file_id"), "sequences")
+    found = repeats.maximal_repeats(sequences, "file_id", options.min_tokens, scratch, options.min_occurrences)
     found = scratch.save(found.withColumn("group", F.xxhash64("length", F.col("occurrences").cast("string"))), "repeats")
-    spans = t.select("file_id", "pos", F.col("line"))
-    cut = repeats.snapped(found, spans, "file_id", options.min_tokens, options.min_lines)
+    lines = scratch.save(repeats.token_lines(t, "file_id"), "lines")
+    cut = repeats.snapped(found, lines, "file_id", options.min_tokens, options.min_lines)
     best = repeats.uncovered(repeats.ranked(cut.filter(F.size("occurrences") >= options.min_occurrences)), scratch)
     o = best.select("group", "n_tokens", "n_lines", "impact", F.explode("occurrences").alias("o")).select("group", "n_tokens", "n_lines", "impact", F.col("o.id").alias("file_id"), F.col("o.pos").alias("pos"))
     first = t.select("file_id", "pos", F.col("line").alias("start_line"), F.col("col").alias("start_column"))

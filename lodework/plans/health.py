@@ -12,7 +12,7 @@ from lodework.functions.tables import Scratch
 from lodework.lang.csharp import BIT
 from lodework.lang.extract import Facts
 from lodework.operators import checks, churn, findings, graph, symbols
-from lodework.plans.dead_code import Symbols, build_graph, build_symbols
+from lodework.plans.dead_code import Graph, Symbols, build
 from lodework.sources.workspace import Workspace
 
 #: The six kinds, in the order of reports and baselines.
@@ -123,12 +123,12 @@ def hot_files(facts: Facts, commits: DataFrame, root: str, globs: list[str], out
     return churn.top(churn.hotspots(f, "path", "weight", "cyclomatic", "line_count"), top)
 
 
-def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Options = Options(), commits: DataFrame | None = None, baseline: tuple[DataFrame, list[list[str]]] | None = None) -> Health:
+def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Options = Options(), commits: DataFrame | None = None, baseline: tuple[DataFrame, list[list[str]]] | None = None, built: tuple[Symbols, Graph] | None = None) -> Health:
     """Findings, cycles and hotspots after ignore globs, inline markers and a baseline, in this order."""
     tests = [i for i, p in enumerate(workspace.projects) if p.test_framework] if options.exclude_tests else []
     outside = facts.files.filter(F.col("project").isin(tests) if tests else F.lit(False)).select("file_id")
-    table = build_symbols(facts, scratch)
-    edges = build_graph(facts, table, workspace.projects, scratch).edges
+    table, references = built or build(facts, workspace, scratch)
+    edges = references.edges
     found = member_findings(facts, table, options.limits, outside).unionByName(file_findings(facts, options.limits, workspace.root, outside)).unionByName(type_findings(table, options.limits, outside))
     globs = list(options.ignore)
     found = findings.not_ignored(found.withColumn("__rel", _relative("file", workspace.root)), "__rel", globs).drop("__rel")
@@ -136,7 +136,7 @@ def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Option
     rings = scratch.save(cycles(table, edges, outside, scratch), "cycles")
     if globs:
         n = len(workspace.root) + 2
-        rings = rings.withColumn("__rel", F.transform("files", lambda x: F.substring(x, n, 4096)))
+        rings = rings.withColumn("__rel", F.transform("files", lambda x: F.substring(x, F.lit(n), F.length(x))))
         rings = findings.cycles_not_ignored(rings, F.col("__rel"), globs).drop("__rel")
     found, baselined, stale = scratch.save(found, "findings"), None, []
     if baseline is not None:

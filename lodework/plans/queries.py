@@ -42,11 +42,11 @@ f AS (
 """
 
 
-def _tripped(spark: SparkSession, d: str) -> DataFrame:
+def _tripped(spark: SparkSession, d: str, *more: str) -> DataFrame:
     docs = read(spark, d, "documents").withColumn("__w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0)))
     longest = F.coalesce(F.array_max(F.transform("__w", F.length)), F.lit(0))
     metrics = {"many-words": F.size("__w"), "many-lines": scalars.line_count(F.coalesce("text", F.lit(""))), "long-word": longest, "many-chars": F.col("n_chars")}
-    return checks.tripped(docs, ["doc_id", "source"], {k: (metrics[k], v) for k, v in LIMITS.items()})
+    return checks.tripped(docs, ["doc_id", "source", *more], {k: (metrics[k], v) for k, v in LIMITS.items()})
 
 
 @query("q01_large_record", "SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS metric, len(string_split(coalesce(text, ''), chr(10))) / 10 AS severity FROM documents WHERE len(string_split(coalesce(text, ''), chr(10))) > 10")
@@ -144,7 +144,24 @@ def q09(spark, d):
     return graph.reach(_trade(spark, d), read(spark, d, "nation").filter("n_regionkey = 0").select("n_nationkey"), Scratch(spark, "reach"))
 
 
-@query("q10_gated_reach")
+@query(
+    "q10_gated_reach",
+    """WITH RECURSIVE line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem),
+step AS (SELECT a.l_suppkey || ':' || a.l_partkey AS src, CAST(b.l_partkey AS VARCHAR) AS name, CAST(b.l_suppkey AS VARCHAR) AS dst, b.l_quantity AS q FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+members AS (SELECT DISTINCT l_suppkey || ':' || l_partkey AS id, CAST(l_suppkey AS VARCHAR) AS parent, CAST(l_partkey AS VARCHAR) AS name FROM line),
+uses AS (SELECT DISTINCT src, name FROM step UNION SELECT DISTINCT '1', CAST(l_partkey AS VARCHAR) FROM line WHERE l_suppkey = 1),
+edges AS (SELECT DISTINCT src, dst FROM step WHERE q > 49 UNION SELECT id, parent FROM members),
+live(id, k) USING KEY (id) AS (
+  SELECT '1', 0
+  UNION
+  SELECT DISTINCT id, k FROM (
+  SELECT e.dst AS id, 0 AS k FROM live JOIN edges e ON e.src = live.id WHERE e.dst NOT IN (SELECT id FROM recurring.live)
+  UNION ALL
+  SELECT m.id, 0 FROM live JOIN uses u ON u.src = live.id JOIN members m ON m.name = u.name JOIN recurring.live p ON p.id = m.parent WHERE m.id NOT IN (SELECT id FROM recurring.live)
+  UNION ALL
+  SELECT m.id, 0 FROM live JOIN members m ON m.parent = live.id JOIN uses u ON u.name = m.name JOIN recurring.live p ON p.id = u.src WHERE m.id NOT IN (SELECT id FROM recurring.live)))
+SELECT id FROM live""",
+)
 def q10(spark, d):
     """Containers are suppliers, members (supplier, part) with the part as name. A live member uses the part of the next line of its order; a large quantity leads to that line's supplier."""
     line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -171,15 +188,17 @@ def q12(spark, d):
     return checks.fan_out(_trade(spark, d), "src", "dst")
 
 
-CHAIN_SQL = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey % 40 = b.l_partkey % 40 AND a.l_partkey <> b.l_partkey)"
+CHAIN_SQL = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_linestatus = b.l_linestatus AND a.l_partkey <> b.l_partkey)"
 
 
-def _chain(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Edges from the part of a line to the part of the next line of its order; unless whole, those that CHAIN_SQL keeps, as its recursion is too slow for all."""
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    both = line.withColumnRenamed("l_partkey", "src").join(nxt, ["l_orderkey", "l_linenumber"])
-    return both.filter("src <> dst" if whole else "src % 40 = dst % 40 and src <> dst").select("src", "dst").distinct()
+def _chain(spark: SparkSession, d: str, returned: bool = True) -> DataFrame:
+    """Edges from the part of a line to the part of the next line of its order: of all lines, or between returned ones of one status, which are components of many sizes."""
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *(("l_linestatus", "l_returnflag") if returned else ()))
+    if returned:
+        line = line.filter("l_returnflag = 'R'").drop("l_returnflag")
+    keys = ["l_orderkey", "l_linenumber", *(("l_linestatus",) if returned else ())]
+    nxt = line.withColumn("l_linenumber", F.col("l_linenumber") - 1).withColumnRenamed("l_partkey", "dst")
+    return line.withColumnRenamed("l_partkey", "src").join(nxt, keys).filter("src <> dst").select("src", "dst").distinct()
 
 
 SCC_SQL = f"{CHAIN_SQL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), scc AS (SELECT a.src AS id, least(min(a.dst), a.src) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
@@ -194,7 +213,7 @@ def q13(spark, d):
     "q14_cycle",
     f"""WITH RECURSIVE {SCC_SQL}, p AS (
   SELECT component, component AS at, [component] AS path FROM scc WHERE id = component
-  UNION ALL SELECT p.component, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.at JOIN scc ON scc.id = e.dst AND scc.component = p.component WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 12),
+  UNION ALL SELECT p.component, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.at JOIN scc ON scc.id = e.dst AND scc.component = p.component WHERE NOT list_contains(p.path, e.dst)),
 closed AS (SELECT p.component, path FROM p JOIN e ON e.src = p.at AND e.dst = p.component WHERE len(path) > 1),
 best AS (SELECT component, arg_min(path, (len(path), path)) AS path FROM closed GROUP BY component)
 SELECT b.component, array_to_string(b.path, ',') AS path, coalesce(string_agg(CAST(scc.id AS VARCHAR), ',' ORDER BY scc.id) FILTER (NOT list_contains(b.path, scc.id)), '') AS others FROM best b JOIN scc USING (component) GROUP BY ALL""",
@@ -207,14 +226,14 @@ def q14(spark, d):
 @query("q38_scc_whole")
 def q38(spark, d):
     """q13 on all next-line edges."""
-    return graph.strong_components(_chain(spark, d, True), Scratch(spark, "scc-whole"))
+    return graph.strong_components(_chain(spark, d, False), Scratch(spark, "scc-whole"))
 
 
 @query("q39_cycle_whole")
 def q39(spark, d):
     """q14 on all next-line edges."""
     s = Scratch(spark, "cycles-whole")
-    return _cycles(s.save(_chain(spark, d, True)), s)
+    return _cycles(s.save(_chain(spark, d, False)), s)
 
 
 def _cycles(edges: DataFrame, s: Scratch) -> DataFrame:
@@ -254,15 +273,23 @@ grams AS (SELECT doc_id, i - 1 AS pos, md5(array_to_string(ws[i : i + 49], ' '))
 groups AS (SELECT g, count(*) AS n_occurrences, count(DISTINCT l) > 1 AS left_maximal, min((doc_id, pos)) AS first FROM grams GROUP BY g HAVING count(*) >= 2)"""
 
 
+def _sequences(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.text_sequences(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.text_lines(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @query("q18_kgram_groups", f"WITH {GRAMS_SQL} SELECT grams.doc_id, grams.pos, n_occurrences FROM grams JOIN groups USING (g)")
 def q18(spark, d):
-    grams = Scratch(spark, "grams").save(repeats.kgrams(_tokens(spark, d), "doc_id", 50))
+    grams = repeats.kgrams(_sequences(spark, d), "doc_id", 50)  # hashed twice, which costs less than to write and read them
     return grams.join(repeats.repeated_kgrams(grams), "gram").select("doc_id", F.col("pos").cast("long").alias("pos"), "n_occurrences")
 
 
 @query("q19_left_maximal", f"WITH {GRAMS_SQL} SELECT grams.doc_id, grams.pos, n_occurrences FROM grams JOIN groups USING (g) WHERE left_maximal")
 def q19(spark, d):
-    grams = Scratch(spark, "grams").save(repeats.kgrams(_tokens(spark, d), "doc_id", 50))
+    grams = repeats.kgrams(_sequences(spark, d), "doc_id", 50)
     return grams.join(repeats.repeated_kgrams(grams).filter("left_maximal"), "gram").select("doc_id", F.col("pos").cast("long").alias("pos"), "n_occurrences")
 
 
@@ -270,18 +297,31 @@ def _occurrence_text(o):
     return F.array_join(F.transform(o, lambda x: F.concat_ws(":", x["id"].cast("string"), x["pos"].cast("string"))), ",")
 
 
-@query("q20_maximal_repeats")
+@query(
+    "q20_maximal_repeats",
+    # Sorted, the texts from a 50-gram on that share a beginning lie side by side: repeats are the intervals between drops of the shared length.
+    f"""WITH {GRAMS_SQL},
+occ AS (SELECT grams.g, grams.doc_id, grams.pos, grams.l, array_to_string(per.ws[grams.pos + 1 :], ' ') || ' ' AS s FROM grams JOIN groups USING (g) JOIN per USING (doc_id) WHERE left_maximal),
+sorted AS (SELECT *, row_number() OVER w AS i, lag(s) OVER w AS before, l IS DISTINCT FROM lag(l) OVER w AS turn FROM occ WINDOW w AS (PARTITION BY g ORDER BY s, doc_id, pos)),
+near AS (SELECT g, i, doc_id, pos, l, CASE WHEN i > 1 THEN coalesce(list_position(list_transform(list_zip(string_split(rtrim(s, ' '), ' '), string_split(rtrim(before, ' '), ' ')), lambda x: x[1] IS DISTINCT FROM x[2]), TRUE) - 1, len(string_split(rtrim(s, ' '), ' '))) ELSE 0 END AS shared FROM sorted),
+cuts AS (SELECT DISTINCT a.g, a.i, a.shared AS length FROM near a WHERE a.i > 1),
+bounds AS (SELECT c.g, c.length, max(b.i) FILTER (b.i <= c.i AND b.shared < c.length) AS lo, coalesce(min(b.i) FILTER (b.i > c.i AND b.shared < c.length), max(b.i) + 1) AS hi FROM cuts c JOIN near b USING (g) GROUP BY c.g, c.i, c.length),
+spans AS (SELECT DISTINCT g, length, lo, hi FROM bounds),
+members AS (SELECT s.g, s.length, s.lo, n.doc_id, n.pos, n.l FROM spans s JOIN near n ON n.g = s.g AND n.i >= s.lo AND n.i < s.hi),
+found AS (SELECT length, count(*) AS n, string_agg(doc_id || ':' || pos, ',' ORDER BY doc_id, pos) AS occurrences FROM members GROUP BY g, length, lo HAVING count(DISTINCT l) > 1)
+SELECT CAST(length AS INTEGER) AS length, CAST(n AS INTEGER) AS n, occurrences FROM found""",
+)
 def q20(spark, d):
-    out = repeats.maximal_repeats(_tokens(spark, d), "doc_id", 50, Scratch(spark, "repeats"))
+    out = repeats.maximal_repeats(_sequences(spark, d), "doc_id", 50, Scratch(spark, "repeats"))
     return out.select("length", F.size("occurrences").alias("n"), _occurrence_text("occurrences").alias("occurrences"))
 
 
 def _runs_of_50(spark: SparkSession, d: str, s: Scratch) -> DataFrame:
     """The left-maximal 50-token repeats as groups."""
-    grams = s.save(repeats.kgrams(_tokens(spark, d), "doc_id", 50), "grams")
+    grams = repeats.kgrams(_sequences(spark, d), "doc_id", 50)
     kept = repeats.repeated_kgrams(grams).filter("left_maximal").select("gram")
     groups = grams.join(kept, "gram").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), "pos"))).alias("occurrences"))
-    return groups.select(F.col("gram").alias("group"), F.lit(50).alias("length"), "occurrences")
+    return s.save(groups.select(F.col("gram").alias("group"), F.lit(50).alias("length"), "occurrences"), "runs")
 
 
 SNAP_SQL = f"""{GRAMS_SQL},
@@ -297,14 +337,14 @@ snapped AS (SELECT g, hi - lo + 1 AS n_tokens, min(e - s + 1) AS n_lines, count(
 @query("q21_snap", f"WITH {SNAP_SQL} SELECT n_tokens, n_lines, n, occurrences FROM snapped")
 def q21(spark, d):
     s = Scratch(spark, "snap")
-    out = repeats.snapped(_runs_of_50(spark, d, s), _tokens(spark, d), "doc_id", 20, 2)
+    out = repeats.snapped(_runs_of_50(spark, d, s), _lines(spark, d), "doc_id", 20, 2)
     return out.select(F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_lines").cast("long").alias("n_lines"), F.size("occurrences").cast("long").alias("n"), _occurrence_text("occurrences").alias("occurrences"))
 
 
 @query("q22_impact", f"WITH {SNAP_SQL} SELECT DISTINCT n_tokens, n, n_tokens * (n - 1) AS impact, occurrences FROM snapped ORDER BY impact DESC, n_tokens DESC, occurrences LIMIT 20")
 def q22(spark, d):
     s = Scratch(spark, "impact")
-    out = repeats.ranked(repeats.snapped(_runs_of_50(spark, d, s), _tokens(spark, d), "doc_id", 20, 2))
+    out = repeats.ranked(repeats.snapped(_runs_of_50(spark, d, s), _lines(spark, d), "doc_id", 20, 2))
     out = out.select(F.col("n_tokens").cast("long").alias("n_tokens"), F.size("occurrences").cast("long").alias("n"), "impact", _occurrence_text("occurrences").alias("occurrences")).distinct()
     return out.orderBy(F.desc("impact"), F.desc("n_tokens"), "occurrences").limit(20)  # a top-k report
 
@@ -312,10 +352,9 @@ def q22(spark, d):
 @query("q23_cover")
 def q23(spark, d):
     s = Scratch(spark, "cover")
-    tokens = s.save(_tokens(spark, d), "tokens")
-    found = repeats.maximal_repeats(tokens, "doc_id", 50, s)
+    found = repeats.maximal_repeats(_sequences(spark, d), "doc_id", 50, s)
     groups = s.save(found.withColumn("group", F.xxhash64("length", _occurrence_text("occurrences"))), "groups")
-    kept = repeats.uncovered(repeats.ranked(repeats.snapped(groups, tokens, "doc_id", 50, 1)), s)
+    kept = repeats.uncovered(repeats.ranked(repeats.snapped(groups, _lines(spark, d), "doc_id", 50, 1)), s)
     return kept.select("n_tokens", "n_lines", "impact", _occurrence_text("occurrences").alias("occurrences"))
 
 
@@ -367,30 +406,19 @@ def q28(spark, d):
     return findings.not_ignored(read(spark, d, "pages").select("page_id", "url"), "url", ["*1*"]).filter(~F.col("url").rlike(r"^(?:https?://(?:.*/)?[^/]*7\.html)$")).select("page_id")
 
 
-RECORDED_SQL = f"{METRICS_SQL}, rec AS (SELECT kind, source AS name, max(metric) AS metric FROM f WHERE doc_id % 3 = 0 GROUP BY kind, source), now AS (SELECT kind, source AS name, doc_id, metric FROM f WHERE doc_id % 7 <> 0 OR kind <> 'long-word')"
-
-
-def _recorded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found = _tripped(spark, d).withColumnRenamed("source", "name")
-    return findings.baseline_of(found.filter("doc_id % 3 = 0")), found.filter("doc_id % 7 <> 0 or kind <> 'long-word'").select("kind", "name", "doc_id", "metric")
-
-
-@query("q29_baseline", f"WITH {RECORDED_SQL} SELECT now.* FROM now LEFT JOIN rec USING (kind, name) WHERE rec.metric IS NULL OR now.metric > rec.metric")
+@query("q29_baseline", f"WITH {METRICS_SQL}, rec AS (SELECT kind, source AS name, max(metric) AS metric FROM f JOIN documents USING (doc_id, source) WHERE lang = 'en' GROUP BY ALL) SELECT f.kind, f.source AS name, f.doc_id, f.metric FROM f LEFT JOIN rec ON rec.kind = f.kind AND rec.name = f.source WHERE rec.metric IS NULL OR f.metric > rec.metric")
 def q29(spark, d):
-    recorded, found = _recorded(spark, d)
-    return findings.over_baseline(found, recorded)
+    """What all documents trip over what the English ones of their source did."""
+    found = _tripped(spark, d, "lang").withColumnRenamed("source", "name")
+    return findings.over_baseline(found.select("kind", "name", "doc_id", "metric"), findings.baseline_of(found.filter("lang = 'en'")))
 
 
-@query("q30_stale", f"WITH {RECORDED_SQL} SELECT kind, name, metric FROM rec WHERE (kind, name) NOT IN (SELECT (kind, name) FROM now WHERE doc_id % 11 > 8)")
+@query("q30_stale", f"WITH {METRICS_SQL}, rec AS (SELECT kind, doc_id AS name, max(metric) AS metric FROM f GROUP BY ALL) SELECT kind, name, metric FROM rec WHERE name IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def q30(spark, d):
-    recorded, found = _recorded(spark, d)
-    return findings.stale_records(recorded, found.filter("doc_id % 11 > 8"))
-
-
-@query("q40_stale_whole", f"WITH {RECORDED_SQL} SELECT kind, name, metric FROM rec WHERE (kind, name) NOT IN (SELECT (kind, name) FROM now)")
-def q40(spark, d):
-    """q30 against all findings."""
-    return findings.stale_records(*_recorded(spark, d))
+    """Everything is recorded; then the documents that labels call bad are gone."""
+    found = _tripped(spark, d).withColumnRenamed("doc_id", "name")
+    bad = read(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("name"))
+    return findings.stale_records(findings.baseline_of(found), found.join(bad, "name", "left_anti"))
 
 
 @query("q31_baseline_build", f"WITH {METRICS_SQL} SELECT kind, source AS name, max(metric) AS metric FROM f GROUP BY kind, source")
@@ -411,16 +439,16 @@ def q33(spark, d):
     return checks.summary(read(spark, d, "documents"), _tripped(spark, d), F.coalesce(F.col("lang") != "en", F.lit(True)), list(LIMITS))
 
 
-PREFIX_SQL = r"""pre AS (SELECT page_id, url, list_transform(range(1, len(string_split(url, '/')) + 1), lambda n: array_to_string(string_split(url, '/')[1 : n], '/')) AS ps FROM pages),
-reg AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN ps[len(ps) - 1] ELSE ps[3] END AS prefix FROM pre WHERE page_id % 2 = 0 AND len(ps) > 3)"""
+PREFIX_SQL = r"""pre AS (SELECT page_id, url, html, list_transform(range(1, len(string_split(url, '/')) + 1), lambda n: array_to_string(string_split(url, '/')[1 : n], '/')) AS ps FROM pages),
+reg AS (SELECT DISTINCT CASE WHEN length(html) > 3000 THEN ps[len(ps) - 1] ELSE ps[3] END AS prefix FROM pre WHERE len(ps) > 3)"""
 
 
 @query("q34_prefix_assign", f"WITH {PREFIX_SQL}, e AS (SELECT page_id, unnest(ps) AS prefix, generate_subscripts(ps, 1) AS depth FROM pre) SELECT p.page_id, x.prefix FROM pages p LEFT JOIN (SELECT page_id, arg_max(prefix, depth) AS prefix FROM e JOIN reg USING (prefix) GROUP BY page_id) x USING (page_id)")
 def q34(spark, d):
     pages = read(spark, d, "pages").select("page_id", "url")
     parts = F.split("url", "/")
-    pre = pages.withColumn("ps", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
-    roots = pre.filter("page_id % 2 = 0 and size(ps) > 3").select(F.when(F.col("page_id") % 4 == 0, F.element_at("ps", F.size("ps") - 1)).otherwise(F.element_at("ps", 3)).alias("prefix")).distinct()
+    pre = read(spark, d, "pages").withColumn("ps", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    roots = pre.filter("size(ps) > 3").select(F.when(F.length("html") > 3000, F.element_at("ps", F.size("ps") - 1)).otherwise(F.element_at("ps", 3)).alias("prefix")).distinct()
     from lodework.sources.workspace import deepest_prefix
 
     return deepest_prefix(pages, "page_id", "url", roots, "prefix")
@@ -436,7 +464,11 @@ def q36(spark, d):
     return checks.suffixed(read(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size"), ["p_brand"], "p_name", F.col("p_size"), F.col("p_size") > 5).select("p_partkey", "p_name")
 
 
-@query("q37_json")
+@query(
+    "q37_json",
+    f"""WITH {METRICS_SQL} SELECT '{{"kind":"' || f.kind || '","name":' || doc_id || CASE WHEN lang = 'en' AND source IS NOT NULL THEN ',"project":' || to_json(source) ELSE '' END
+  || ',"metric":' || metric || ',"threshold":' || threshold || ',"severity":' || CAST(round(severity * 100) / 100 AS VARCHAR) || '}}' AS json FROM f JOIN documents USING (doc_id, source)""",
+)
 def q37(spark, d):
-    rows = _tripped(spark, d).withColumn("project", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    rows = _tripped(spark, d, "lang").withColumn("project", F.when(F.col("lang") == "en", F.col("source")))
     return findings.as_json(rows, [F.col("kind"), F.col("doc_id").alias("name"), F.col("project"), F.col("metric"), F.col("threshold"), scalars.rounded(F.col("severity"), 2).alias("severity")])

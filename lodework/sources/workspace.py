@@ -264,12 +264,6 @@ def source_files(spark: SparkSession, workspace: Workspace) -> DataFrame:
     return listed.repartition(n).mapInArrow(load, "file_id int, path string, project int, is_generated boolean, content binary")
 
 
-def scanned_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the sources below a path that only Spark can read."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cs").load(path)
-    return scan.filter(F.col("length") <= MOST_BYTES).select("path", "content")
-
-
 def deepest_prefix(files: DataFrame, id_: str, path: str, roots: DataFrame, prefix: str) -> DataFrame:
     """(id, prefix): for each file the longest root that is one of its path's prefixes by components, or null.
 

@@ -68,20 +68,20 @@ def dead(spark, root, **options):
 def test_dead_code(spark, tmp_path):
     write(tmp_path, {
         "App/App.csproj": EXE,
-        "App/Program.cs": 'using Lib.Deep; namespace App; static class Program { static void Main() { new Greeter().Hello(); "x".Shout(); Reg.Add<IJob>(); } }',
-        "App/Greeter.cs": "namespace App; class Greeter { public void Hello() { } void Unused() { } // lodework:off unused-member\n void AlsoUnused() { } public int P { get; set; } [Json] void Marked() { } ~Greeter() { } }",
+        "App/Program.cs": 'using Lib.Deep; namespace App; static class Program { static void Main() { new Kiosk().Serve(); "x".Louder(); Reg.Add<IJob>(); } }',
+        "App/Kiosk.cs": "namespace App; class Kiosk { public void Serve() { } void Unused() { } // lodework:off unused-member\n void AlsoUnused() { } public int P { get; set; } [Json] void Marked() { } ~Kiosk() { } }",
         "App/Dead.cs": "namespace App { class Dead { void A() { new Dead().B(); } void B() { } } }",
-        "App/Ext.cs": "namespace Lib.Deep { public static class Ext { public static string Shout(this string s) => s; public static string Quiet(this string s) => s; } }",
-        "App/Jobs.cs": "interface IJob { void Run(); } class Nightly : IJob { public void Run() { } void Helper() { } } static class Reg { public static void Add<T>() { } }",
+        "App/Ext.cs": "namespace Lib.Deep { public static class Ext { public static string Louder(this string s) => s; public static string Softer(this string s) => s; } }",
+        "App/Jobs.cs": "interface IJob { void Run(); } class Sweep : IJob { public void Run() { } void Helper() { } } static class Reg { public static void Add<T>() { } }",
         "App/Own.g.cs": "class Generated { void X() { } }",
         "App/bin/Skip.cs": "class Skipped { }",
     })
     got, result = dead(spark, tmp_path)
-    assert got == {("unused-file", "App/Dead.cs"), ("unused-member", "App.Greeter.AlsoUnused"), ("unused-member", "Lib.Deep.Ext.Quiet"), ("unused-member", "Nightly.Helper"), ("unused-member", "IJob.Run")}
-    assert result.counts["files"] == 7
-    assert ("unused-member", "App.Greeter.P") in dead(spark, tmp_path, aggressive=True)[0]
+    assert got == {("unused-file", "App/Dead.cs"), ("unused-member", "App.Kiosk.AlsoUnused"), ("unused-member", "Lib.Deep.Ext.Softer"), ("unused-member", "Sweep.Helper"), ("unused-member", "IJob.Run")}
+    assert result.counts["files"] == 6  # those below bin are no sources
+    assert ("unused-member", "App.Kiosk.P") in dead(spark, tmp_path, aggressive=True)[0]
     rooted, result = dead(spark, tmp_path, roots=("App.Dead", "No.Such"), ignore=("App/Ext.cs",))
-    assert ("unused-file", "App/Dead.cs") not in rooted and not any("Quiet" in n for _, n in rooted) and any("No.Such" in n for n in result.notes)
+    assert ("unused-file", "App/Dead.cs") not in rooted and not any("Softer" in n for _, n in rooted) and any("No.Such" in n for n in result.notes)
 
 
 def test_resolution_tells_names_apart(spark, tmp_path):

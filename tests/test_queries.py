@@ -10,6 +10,8 @@ import pytest
 
 from lodework.plans.queries import ORACLES, QUERIES
 
+#: Queries that SQL can't express, and the tests that hold their operators against brute force.
+BRUTE = {"q23_cover": "test_operators.test_cover", "q38_scc_whole": "test_whole_graph", "q39_cycle_whole": "test_whole_graph"}
 TABLES = "/root/testdata/sf0.001"
 
 
@@ -35,14 +37,14 @@ def test_query(spark, name):
         want = sorted([tuple(plain(r[i]) for i in at) for r in found.fetchall()], key=str)
         assert got == want
     else:
-        assert got
+        assert name in BRUTE
 
 
 def test_whole_graph(spark, tmp_path):
-    """Strong components and shortest cycles of all next-line edges, by brute force; ids with different residues, so q13's filter drops all."""
+    """Strong components and shortest cycles of all next-line edges, by brute force; no line was returned, so the others have no edge."""
     r = random.Random(2)
     lines = [(o, n, r.randrange(1, 14)) for o in range(16) for n in range(1, r.randint(3, 5))]
-    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(*x, "A", "F") for x in lines], "l_orderkey long, l_linenumber long, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     at = {(o, n): p for o, n, p in lines}
     edges = {(p, at[o, n + 1]) for (o, n), p in at.items() if (o, n + 1) in at and at[o, n + 1] != p}
     reach = set(edges)
