@@ -1,99 +1,24 @@
-"""Shared plumbing of the training-data operators: scratch tables and Arrow helpers."""
+"""Shared plumbing of the training-data operators: Arrow helpers, samples, and the core's written tables."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lodework.functions.arrow import raw as raw
+from lodework.functions.arrow import slices as slices
+from lodework.functions.tables import Scratch as Scratch
+
 #: Words are runs of anything but these six ASCII bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts handled at once by a Python worker, in UTF-8 bytes; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodework-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-class Scratch:
-    """Tables that one query writes to the shared folder and reads again.
-
-    A written table cuts lineage: when an executor is lost, only tasks that read the table
-    are run again, and nothing depends on blocks that an executor holds.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/lodework-{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        release(self.spark)
-        return out
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows in order, in batches of about `most` bytes of text; null texts become empty."""
-    for batch in batches:
-        i = batch.schema.get_field_index(text)
-        column = pc.fill_null(batch.column(i).cast(pa.large_string()), "")
-        batch = batch.set_column(i, text, column)
-        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a large_string column without nulls, and the offsets of its rows."""
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def binary_column(items: list[bytes]) -> pa.Array:
-    return pa.array(items, pa.binary())
-
-
 def with_columns(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], begin) -> DataFrame:
     """The rows of docs, without `text`, with new columns computed from whole texts.
 

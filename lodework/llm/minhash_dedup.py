@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.llm import words as W
+from lodework.functions import words as W
 from lodework.llm.common import Scratch, partitions, raw, slices
-from lodework.llm.components import components
+from lodework.operators.graph import components
 
 
 @dataclass(frozen=True)
@@ -281,12 +281,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     ends = scratch.save(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ends")
     sets = scratch.save(full_sets(ends, docs, bands, key, text), "sets")
     links = scratch.save(confirmed(stars, sets, bands), "links")
-    part = components(links, scratch, "first")
+    part = components(links, scratch)
     labels = scratch.save(ends.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     rest = scratch.save(remaining_pairs(reps, labels, bands), "rest")
     more = scratch.save(confirmed(rest, sets, bands), "more")
     same = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(more).unionByName(same), scratch, "final")
+    final = components(links.unionByName(more).unionByName(same), scratch)
     out = rows.select("id", "n").join(final, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
