@@ -1,15 +1,20 @@
 """Embedding near-dedup (operator 4): randomised-rotation binary codes with correction factors.
 
 Every vector is normalised, rotated by one random rotation and stored as the signs of its
-coordinates and one factor, the inner product of the vector with its code. For a query q the
+coordinates and one factor, the inner product of the rotated vector with its code. For a query q the
 inner product of the rotated q with the code, over the factor, estimates the cosine without
-bias; its error is bounded with a confidence that grows with the number of coordinates. Pairs
-whose upper bound reaches the threshold, and only these, are computed exactly in double precision.
+bias. Of a pair at cosine s the estimate's standard error is sqrt(1 - s^2) * sqrt(1 - f^2) / (f * sqrt(d - 1)),
+f the factor and d the length: so pairs at the threshold or above lie, but for `confidence` standard
+errors, over a bound that is known before they are seen. Pairs over it, and only these, are computed
+exactly in double precision.
 
 Which pairs are estimated at all is up to an inverted index: each vector lies in the cell of its
-nearest centroid and probes several nearest cells, more of them the more cells there are. A cell is
-split into blocks of members and blocks of probes, so that no task holds more than one of each. A pair
-is found when either end probes the cell of the other; of two such tasks one owns it, which counts it for both ends.
+nearest centroid and probes several nearest cells, more of them the more cells there are. What travels
+to the probed cells is a code (an 8-byte id, a bit a coordinate and the factor); a query goes to its own
+cell alone, in one byte a coordinate, whose rounding the bound allows for. Full vectors
+travel only to tasks in which the bound has chosen them. A cell is split into blocks of queries and blocks of
+codes, so no task holds more than one of each. A pair is found when either end probes the cell of the
+other; of two such tasks one owns it, which counts it for both ends.
 """
 
 from __future__ import annotations
@@ -28,52 +33,92 @@ from lodework.operators.graph import components
 
 @dataclass(frozen=True)
 class Index:
-    """cells: 2 * sqrt(vectors), within these limits; the centroids are fitted on at most `sample` vectors, every vector is indexed."""
+    """cells: density * sqrt(vectors), at least least_cells; centroids are fitted on at most sample_a_cell vectors a cell (at least 4,096), every vector is indexed."""
 
     threshold: float = 0.9
-    #: Cells that a vector probes: `probes`, or growth * cells**0.4 if that is more; recall of pairs at the threshold stays near 0.998.
+    #: Cells that a vector probes: `probes`, or growth * cells**0.4 if that is more.
     probes: int = 12
     growth: float = 1.9
+    density: float = 0.5
     least_cells: int = 8
-    most_cells: int = 4096
-    sample: int = 32768
-    #: Standard errors of an estimate that its bounds lie apart from it.
+    sample_a_cell: int = 8
+    #: Standard errors of an estimate that its bound allows for.
     confidence: float = 4.0
-    members: int = 4096
-    queries: int = 8192
+    queries: int = 4096
+    codes: int = 32768
     seed: int = 4
 
+    def cells(self, n: int) -> int:
+        return max(self.least_cells, int(self.density * n**0.5))
+
     def probed(self, cells: int) -> int:
         return min(cells, max(self.probes, int(np.ceil(self.growth * cells**0.4))))
 
 
-def _parse(embedding: pa.Array, dim: int) -> tuple[list[bytes | None], list[bytes | None]]:
-    """Normalised vectors as little-endian doubles, and in the form that travels; None for those that link with nothing.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their norms, scaled by their largest component first so that nothing over- or underflows; which of them have a norm."""
+    finite = np.isfinite(v).all(axis=1)
+    most = np.abs(np.where(finite[:, None], v, 0.0)).max(axis=1, initial=0.0)
+    ok = finite & (most > 0)
+    scaled = np.where(ok[:, None], v, 1.0)
+    # Powers of two leave every bit of the components as it is; two steps, as 2^-e can overflow.
+    shift = np.frexp(np.where(ok, most, 1.0))[1][:, None]
+    scaled = np.ldexp(np.ldexp(scaled, -(shift // 2)), shift // 2 - shift)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)), ok
+
+
+def _hash_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's double bits; -0.0 is 0.0."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    place = np.arange(1, x.shape[1] + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        two = [_mix(_mix(bits + place * np.uint64(c)) * (place * np.uint64(2) + np.uint64(1))).sum(axis=1, dtype=np.uint64) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+        return tuple(_mix(t).view(np.int64) for t in two)
 
-    Vectors of floats travel as they are, with their norm, which takes half the bytes.
-    """
-    out, packed = [], []
-    for i in range(len(embedding)):
-        x = embedding[i]
-        v = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) if x.is_valid else np.zeros(0)
-        norm = np.linalg.norm(v) if len(v) == dim and np.isfinite(v).all() else 0.0
-        out.append((v / norm).tobytes() if norm > 0 and np.isfinite(norm) else None)
-        with np.errstate(over="ignore"):
-            f = v.astype(np.float32)
-        packed.append(f.tobytes() + np.float64(norm).tobytes() if out[-1] is not None and dim > 2 and (f == v).all() else out[-1])
-    return out, packed
-
-
-def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
-    """The normalised vectors, to the bit."""
-    out = np.empty((len(packed), dim))
-    short = np.array([len(p) != 8 * dim for p in packed], bool)
-    if short.any():
-        b = np.frombuffer(b"".join([p for p in packed if len(p) != 8 * dim]), np.uint8).reshape(-1, 4 * dim + 8)
-        out[short] = np.ascontiguousarray(b[:, : 4 * dim]).view(np.float32).astype(np.float64) / np.ascontiguousarray(b[:, 4 * dim :]).view(np.float64)
-    if not short.all():
-        out[~short] = np.frombuffer(b"".join([p for p in packed if len(p) == 8 * dim])).reshape(-1, dim)
-    return out
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors) for each length in a column of lists; null lists and null components are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.values
+    values, holes = np.asarray(flat.fill_null(np.nan).to_numpy(zero_copy_only=False), np.float64), np.asarray(column.offsets)
+    sizes = np.where(np.asarray(column.is_valid()), np.diff(holes), 0)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        yield n, rows, values[holes[rows][:, None] + np.arange(n)]
+
+
+def _vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
+    """(id, dim, h1, h2, v): the normalised vectors with a 128-bit key; dim 0 where a row links with nothing. v is floats if these hold the input, else doubles. Narrow."""
+    short = vectors.schema[embedding].dataType.elementType.simpleString() == "float"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            dim, h1, h2, out = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+            for size, rows, raw in _by_length(b.column(1)):
+                x, ok = _unit(raw)
+                ok &= np.asarray(b.column(0).is_valid())[rows]
+                dim[rows[ok]] = size
+                h1[rows[ok]], h2[rows[ok]] = _hash_rows(x[ok])
+                data = raw[ok].astype(np.float32) if short else raw[ok]
+                for r, v in zip(rows[ok].tolist(), data, strict=True):
+                    out[r] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dim), pa.array(h1), pa.array(h2), pa.array(out, pa.binary())], names=["id", "dim", "h1", "h2", "v"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
+    return rows.mapInArrow(run, "id long, dim int, h1 long, h2 long, v binary")
+
+
+def _read(packed: list[bytes], dim: int) -> np.ndarray:
+    """Normalised vectors of the form that travels."""
+    kind = np.float32 if packed and len(packed[0]) == 4 * dim else np.float64
+    return _unit(np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64))[0]
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -97,9 +142,15 @@ def _nearest(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
+_turns: dict[tuple[int, int], np.ndarray] = {}
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    if (dim, seed) not in _turns:
+        _turns.clear()
+        q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+        _turns[dim, seed] = q * np.sign(np.diag(r))
+    return _turns[dim, seed]
 
 
 def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +159,16 @@ def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(r > 0, axis=1), np.abs(r).sum(axis=1) / np.sqrt(x.shape[1])
 
 
-def candidates(queries: np.ndarray, bits: np.ndarray, factors: np.ndarray, turn: np.ndarray, threshold: float, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) pairs whose upper confidence bound reaches the threshold."""
+def candidates(queries: np.ndarray, bits: np.ndarray, factors: np.ndarray, turn: np.ndarray, threshold: float, confidence: float, rounding: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) pairs whose estimate reaches what pairs at the threshold stay over, but for `confidence` standard errors and the rounding of the queries (their errors' norms)."""
     dim = queries.shape[1]
     signs = np.where(np.unpackbits(bits, axis=1, count=dim) == 1, 1.0, -1.0).astype(np.float32) / np.float32(np.sqrt(dim))
     rotated = (queries @ turn.T).astype(np.float32)
-    error = confidence * np.sqrt(np.maximum(0.0, 1 - factors**2)) / (factors * np.sqrt(max(1, dim - 1)))
-    least = ((threshold - error) * factors).astype(np.float32) - np.float32(1e-5)
-    return np.nonzero(rotated @ signs.T >= least[None, :])
+    factors = factors.astype(np.float64)
+    error = confidence * np.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0.0, 1 - factors**2)) / np.sqrt(max(1, dim - 1))
+    least = (threshold * factors - error).astype(np.float32) - np.float32(1e-5)
+    slack = np.broadcast_to(np.asarray(rounding, np.float32), (len(queries),))[:, None]
+    return np.nonzero(rotated @ signs.T + slack >= least[None, :])
 
 
 def _roots(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -131,99 +184,151 @@ def _roots(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _centers(rows: DataFrame, index: Index) -> dict[int, np.ndarray]:
+    """Of each length of vectors the centroids of its cells; lengths that need one cell have none and are not gathered."""
+    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * index.least_cells).collect()}
+    out, test = {}, F.lit(False)
+    most = {d: max(4096, index.sample_a_cell * index.cells(n)) for d, n in counts.items()}
+    for d, n in counts.items():
+        test |= (F.col("dim") == d) & (F.pmod(F.col("h1"), F.lit(1 << 52)) < int((1 << 52) * min(1.0, 1.1 * most[d] / n)))
+    if not counts:
+        return out
+    picked: dict[int, dict] = {}
+    for r in rows.filter(test).groupBy("dim", "h1", "h2").agg(F.min("v").alias("v")).toLocalIterator():  # about 1.1 * most rows a length, of distinct vectors
+        picked.setdefault(r["dim"], {})[r["h1"], r["h2"]] = r["v"]
+    for d, found in picked.items():
+        x = _read([bytes(found[k]) for k in sorted(found)[: most[d]]], d)
+        out[d] = _kmeans(x, min(index.cells(counts[d]), len(x)), index.seed)
+    return out
+
+
 def near_duplicates(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", embedding: str = "embedding", index: Index = Index()) -> DataFrame:
-    """Per row: key, n_links (other rows linked directly), component_id and kept.
+    """Per row: key, n_links (other rows linked directly), component_id and kept; other columns are dropped, whatever their names.
 
-    A link is a cosine >= threshold. Vectors that are null or zero, that hold null or non-finite
-    components, whose key is null, or whose length is not the commonest of the table (the
-    smallest of several), link with nothing. Equal vectors are one class and go through the index once;
-    every row counts, repeated ones too.
+    A link is a cosine >= threshold of vectors of one length, whatever length that is and however large or
+    small their components are. Vectors that are null, empty or zero, that hold null or non-finite
+    components, or whose key is null link with nothing. Equal vectors are one class and go through the index once;
+    every row counts, repeated ones too. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    sizes = rows.filter("e is not null and size(e) > 0").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 1
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in _parse(b.column(1), dim))], names=["id", "v", "packed"])
-
-    rows = scratch.save(rows.mapInArrow(parse, "id long, v binary, packed binary"), "rows")
-    good = rows.filter("id is not null and v is not null")
-    classes = scratch.save(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.min("packed").alias("packed")), "classes")
-    n = classes.count()
-    # At most about 1.1 * sample rows reach the driver.
-    sampled = [np.frombuffer(r["v"]) for r in sorted(classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 52)) < int((1 << 52) * min(1.0, 1.1 * index.sample / max(1, n)))).select("rep", "v").collect(), key=lambda r: r["rep"])[: index.sample]]
-    k = int(min(index.most_cells, max(index.least_cells, 2 * n**0.5), max(1, len(sampled))))
-    centers = _kmeans(np.array(sampled), k, index.seed) if sampled else np.zeros((1, dim))
-    turn = rotation(dim, index.seed)
+    rows = _vectors(vectors, key, embedding)
+    good = rows.filter("dim > 0")
+    models = _centers(good, index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _unpack(b.column(2).to_pylist(), dim)
-            cells = _nearest(x, centers, index.probed(len(centers))).astype(np.int32)
-            bits, factors = codes(x, turn)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(cells), pa.list_(pa.int32())), pa.array([c.tobytes() for c in bits], pa.binary()), pa.array(factors)], names=["rep", "many", "packed", "cells", "code", "factor"])
-
-    placed = scratch.save(classes.select("rep", "many", "packed").mapInArrow(place, "rep long, many long, packed binary, cells array<int>, code binary, factor double"), "index")
-    probes = placed.select("rep", "many", "packed", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
-    members = placed.withColumn("cell", F.col("cells")[0])
-    # One row a cell, index.most_cells rows at most.
-    sizes = members.groupBy("cell").agg(F.count("*").alias("m")).join(probes.groupBy("cell").agg(F.count("*").alias("p")), "cell")
-    sizes = sizes.select("cell", F.ceil(F.col("m") / index.members).cast("int").alias("mbs"), F.ceil(F.col("p") / index.queries).cast("int").alias("pbs"))
-    own, all_of = (lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    task = F.expr("shiftleft(cast(cell as long), 48) | shiftleft(cast(mb as long), 24) | pb").alias("task")
-    left = members.join(F.broadcast(sizes), "cell").withColumn("mb", own("rep", "mbs")).withColumn("pb", all_of("pbs")).select(task, "rep", "many", "packed", "cells", "code", "factor")
-    right = probes.join(F.broadcast(sizes), "cell").withColumn("pb", own("rep", "pbs")).withColumn("mb", all_of("mbs")).select(task, "rep", "many", "home", "packed")
-    left, right = (x.select(*(F.col(c).alias(p + c) for c in x.columns)) for p, x in (("m_", left), ("q_", right)))
-
-    def owned(q: np.ndarray, x: np.ndarray, home: np.ndarray, cells: np.ndarray, qids: np.ndarray, ids: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Which pairs are links that this task counts: all that the member does not probe back, else those of the smaller id's view."""
-        mine = (qids[s] < ids[t]) | (qids[s] > ids[t]) & ~(cells[t] == home[s][:, None]).any(axis=1)
-        mine[mine] = np.einsum("ij,ij->i", q[s[mine]], x[t[mine]]) >= index.threshold
-        return mine
-
-    def meet(members: pa.Table, queries: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if members.num_rows and queries.num_rows:
-            ids, qids = members.column("m_rep").to_numpy(), queries.column("q_rep").to_numpy()
-            x, q = _unpack(members.column("m_packed").to_pylist(), dim), _unpack(queries.column("q_packed").to_pylist(), dim)
-            cells = np.array(members.column("m_cells").to_pylist(), np.int32)
-            home, qmany = queries.column("q_home").to_numpy(), queries.column("q_many").to_numpy()
-            bits = np.frombuffer(b"".join(members.column("m_code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            factors, many = members.column("m_factor").to_numpy(), members.column("m_many").to_numpy()
-            nodes = np.unique(np.concatenate([ids, qids]))
-            qbits, qfactors = codes(q, turn)
-            links, a, b = np.zeros(len(nodes), np.int64), [], []
-            for i in range(0, len(q), 512):
-                # By the code of either end, so that a pair does not depend on which task looks at it.
-                s, t = candidates(q[i : i + 512], bits, factors, turn, index.threshold, index.confidence)
-                u, v = candidates(x, qbits[i : i + 512], qfactors[i : i + 512], turn, index.threshold, index.confidence)
-                s, t = np.divmod(np.union1d(s * len(x) + t, v * len(x) + u), len(x))
-                ok = np.concatenate([owned(q, x, home, cells, qids, ids, i + s[j : j + 65536], t[j : j + 65536]) for j in range(0, len(s), 65536)] or [np.zeros(0, bool)])
-                s, t = i + s[ok], t[ok]
-                at, to = np.searchsorted(nodes, qids[s]), np.searchsorted(nodes, ids[t])
-                np.add.at(links, at, many[t])
-                np.add.at(links, to, qmany[s])
-                both = np.unique(np.stack([at, to]), axis=1)
-                a.append(both[0])
-                b.append(both[1])
-            a, b = np.concatenate(a), np.concatenate(b)
-            root = _roots(a, b, nodes)
-            linked = np.flatnonzero(root != nodes)
-            some = np.flatnonzero(links)
-            found = (np.concatenate([nodes[some], nodes[linked]]), np.concatenate([links[some], np.zeros(len(linked), np.int64)]), np.concatenate([nodes[some], root[linked]]))
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("id", "links", "root"), found, strict=True)})
-
-    met = left.groupBy("m_task").cogroup(right.groupBy("q_task")).applyInArrow(meet, "id long, links long, root long")
+            dims, v = b.column(0).to_numpy(), b.column(5).to_pylist()
+            cells: list = [[0]] * b.num_rows
+            for d, centers in models.items():
+                rows = np.flatnonzero(dims == d)
+                for i in range(0, len(rows), 4096):
+                    part = rows[i : i + 4096]
+                    for r, c in zip(part.tolist(), _nearest(_read([v[j] for j in part], d), centers, index.probed(len(centers))).tolist(), strict=True):
+                        cells[r] = c
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+
+    kinds = "dim int, h1 long, h2 long, rep long, many long, v binary"
+    classes = good.groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.min("v").alias("v"))
+    classes = classes.mapInArrow(place, kinds + ", cells array<int>").withColumn("cid", F.monotonically_increasing_id())
+    classes = scratch.save(classes, "classes")
+    # One row a cell.
+    sizes = classes.select("dim", F.posexplode("cells").alias("n", "cell")).groupBy("dim", "cell").agg(F.count_if(F.col("n") == 0).alias("q"), F.count("*").alias("c"))
+    blocks = {(r["dim"], r["cell"]): (-(-r["q"] // index.queries), -(-r["c"] // index.codes)) for r in sizes.filter((F.col("q") > index.queries) | (F.col("c") > index.codes)).toLocalIterator()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes to the probed cells and queries to their own, in one row for each task that they go to."""
+        for b in batches:
+            dims, cids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            v, cells = b.column(2).to_pylist(), b.column(3).to_pylist()
+            out: dict[tuple, list] = {}
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                x = _read([v[j] for j in rows], d)
+                bits, factors = codes(x, rotation(d, index.seed))
+                scale = np.abs(x).max(axis=1) / 127
+                small = np.rint(x / scale[:, None]).astype(np.int8)
+                for j, r in enumerate(rows.tolist()):
+                    cid, mine = int(cids[r]), cells[r]
+                    code, query = bits[j].tobytes() + np.float32(factors[j]).tobytes(), small[j].tobytes() + np.float32(scale[j]).tobytes()
+                    number = cids[r : r + 1].tobytes()
+                    for at, cell in enumerate(mine):
+                        nq, nc = blocks.get((d, cell), (1, 1))
+                        for qb in range(nq):
+                            out.setdefault((d, cell, qb, cid % nc, True), []).append(number + code)
+                        if not at:
+                            for cb in range(nc):
+                                out.setdefault((d, cell, cid % nq, cb, False), []).append(number + query)
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array([b"".join(x) for x in out.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["dim", "cell", "qb", "cb", "is_code", "data"])
+
+    def estimate(group: pa.Table) -> pa.Table:
+        """Which vectors a task needs: (cid, is_code) of all ends of pairs over the bound."""
+        dim, is_code = group.column("dim")[0].as_py(), group.column("is_code").to_numpy()
+        data, width = group.column("data").to_pylist(), (dim + 7) // 8
+        coded, queried = (np.frombuffer(b"".join(x for x, c in zip(data, is_code, strict=True) if c == side), np.uint8).reshape(-1, n) for side, n in ((True, 12 + width), (False, 12 + dim)))
+        ids, qids = (np.ascontiguousarray(t[:, :8]).view(np.int64)[:, 0] for t in (coded, queried))
+        bits, factors = coded[:, 8 : 8 + width], np.ascontiguousarray(coded[:, 8 + width :]).view(np.float32)[:, 0]
+        scale = np.ascontiguousarray(queried[:, 8 + dim :]).view(np.float32)[:, 0].astype(np.float64)
+        q = np.ascontiguousarray(queried[:, 8 : 8 + dim]).view(np.int8) * scale[:, None]
+        need_q, need_c, turn = np.zeros(len(q), bool), np.zeros(len(ids), bool), rotation(dim, index.seed)
+        for i in range(0, len(q), 512):
+            for k in range(0, len(ids), 8192):
+                s, t = candidates(q[i : i + 512], bits[k : k + 8192], factors[k : k + 8192], turn, index.threshold, index.confidence, scale[i : i + 512] * np.sqrt(dim) / 2)
+                other = qids[i + s] != ids[k + t]
+                need_q[i + s[other]] = need_c[k + t[other]] = True
+        found = np.concatenate([qids[need_q], ids[need_c]])
+        head = {c: pa.array(np.full(len(found), group.column(c)[0].as_py(), np.int32)) for c in ("cell", "qb", "cb")}
+        return pa.table({"cid": found, **head, "is_code": np.arange(len(found)) >= need_q.sum()})
+
+    sent = classes.select("dim", "cid", "v", "cells").mapInArrow(send, "dim int, cell int, qb int, cb int, is_code boolean, data binary")
+    needed = sent.groupBy("dim", "cell", "qb", "cb").applyInArrow(estimate, "cid long, cell int, qb int, cb int, is_code boolean")
+    needed = scratch.save(needed, "needed").join(classes.select("cid", "dim", "rep", "many", "v", "cells"), "cid")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        """Links of a task: (cid, rep, number of rows linked, least rep that links reach)."""
+        dim, side = group.column("dim")[0].as_py(), group.column("is_code").to_numpy()
+        everything = group.column("v").to_pylist()
+        qi, ci = np.flatnonzero(~side), np.flatnonzero(side)
+        cid, rep, many = (group.column(c).to_numpy() for c in ("cid", "rep", "many"))
+        x, q, turn = _read([everything[j] for j in ci], dim), _read([everything[j] for j in qi], dim), rotation(dim, index.seed)
+        home = np.array([c[0] for c in group.column("cells").to_pylist()], np.int32)
+        probed = [np.array(c, np.int32) for c in group.column("cells").to_pylist()]
+        bits, factors = codes(x, turn)
+        nodes, at = np.unique(cid, return_inverse=True)
+        name = np.zeros(len(nodes), np.int64)
+        name[at] = rep
+        links, ends = np.zeros(len(nodes), np.int64), [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(q), 512):
+            s, t = candidates(q[i : i + 512], bits, factors, turn, index.threshold, index.confidence)
+            a, b = qi[i + s], ci[t]
+            # A pair that the query's own probes lead to as well is counted in the view of the smaller query.
+            back = np.zeros(len(a), bool)
+            for j in np.unique(a).tolist():
+                mine = a == j
+                back[mine] = np.isin(home[b[mine]], probed[j])
+            ok = (cid[a] != cid[b]) & (~back | (cid[a] < cid[b]))
+            s, t, a, b = s[ok], t[ok], a[ok], b[ok]
+            ok = np.concatenate([np.einsum("ij,ij->i", q[i + s[j : j + 65536]], x[t[j : j + 65536]]) >= index.threshold for j in range(0, len(s), 65536)] or [np.zeros(0, bool)])
+            a, b = a[ok], b[ok]
+            np.add.at(links, at[a], many[b])
+            np.add.at(links, at[b], many[a])
+            ends.append(np.unique(np.stack([at[a], at[b]]), axis=1))
+        a, b = np.concatenate(ends, axis=1)
+        root = _roots(a, b, name)
+        some = np.flatnonzero(links)
+        return pa.table({"cid": nodes[some], "rep": name[some], "links": links[some], "root": root[some]})
+
+    met = needed.groupBy("dim", "cell", "qb", "cb").applyInArrow(confirm, "cid long, rep long, links long, root long")
     met = scratch.save(met, "met")
-    edges = met.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    ids = rows.filter("id is not null and v is not null").join(classes.select("v", "rep"), "v").select("id", "rep")
-    labels = components(edges.unionByName(ids.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), scratch)
-    links = met.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0").select(F.col("id").alias("rep"), "links")
-    per_class = classes.select("v", "rep", "many").join(links, "rep", "left").select("v", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    valid = rows.withColumn("__v", F.when(F.col("id").isNotNull(), F.col("v")))
-    out = valid.join(per_class.withColumnRenamed("v", "__v"), "__v", "left").join(labels, "id", "left")
+    scratch.drop("needed")
+    links = met.groupBy("cid").agg(F.sum("links").alias("links"))
+    per_class = classes.select("cid", "dim", "h1", "h2", "rep", "many").join(links, "cid", "left").select("dim", "h1", "h2", "rep", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_row = scratch.save(rows.select("id", "dim", "h1", "h2").join(per_class, ["dim", "h1", "h2"], "left").select("id", "rep", "n_links"), "rows")
+    same = per_row.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    labels = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same), scratch)
+    scratch.drop("classes", "met")
+    out = per_row.join(labels, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
