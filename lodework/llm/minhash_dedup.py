@@ -6,9 +6,9 @@ two values that agree with the probability of the similarity for one evaluation.
 
 No group is ever compared pairwise as a whole. First every document of a key is compared
 with the key's smallest document only, and confirmed links are joined to components. What
-can still be missing is a link between documents of one key in different components; exactly these
-pairs are compared next. Pairs within a component need no look, so a group of near copies
-of any size costs about one comparison for each member.
+can still be missing is a link between documents of one key in different components; only these
+meet next, in blocks, and each task returns no more links than join what it found linked. Pairs within a
+component need no look, so a group of near copies of any size costs about one comparison for each member.
 """
 
 from __future__ import annotations
@@ -183,14 +183,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < bands.percent * len(large) or not len(small):
-                    ok.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                ok.append(100 * both >= bands.percent * (len(x) + len(y) - both))
+                ok.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), bands.percent))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -203,62 +196,127 @@ def confirmed(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 BLOCK = 2048
 
 
-def remaining_pairs(reps: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs that share a key, lie in different components (labels: id, component) and can be similar enough.
+def keys_of(labelled: DataFrame, bands: Bands) -> DataFrame:
+    """(key, band, id, component) of every band of (id, component, bands)."""
 
-    Only keys with two components or more are looked at. Documents of a large key are dealt to blocks,
-    and each pair of blocks is one group, so that memory is bounded and one key is split over many
-    tasks. A pair is judged under the first band that both have, once: its sizes must allow the
-    similarity, and its signatures must agree nearly as often as that similarity makes them
-    (4.5 standard deviations below; 3 pairs in a million are missed at the limit, none in practice above).
-    """
-    total = bands.rows * bands.bands
-    s = bands.percent / 100
-    chance = s + (1 - s) / 256
-    least = total * chance - 4.5 * (total * chance * (1 - chance)) ** 0.5
-    groups = 4 * partitions(reps.sparkSession)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = spread(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), bands).reshape(-1).view(np.int64)
             ids, of = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), bands.bands) for i in (0, 1))
             band = np.tile(np.arange(bands.bands, dtype=np.int32), batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (data, band, ids, of)], names=["key", "band", "id", "component"])
 
-    def block(group: pa.Table) -> pa.Table:
-        key, ids, of, n = (group.column(c).to_numpy() for c in ("key", "id", "component", "n"))
-        band, side = group.column("band").to_numpy(), group.column("block").to_numpy()
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        sig = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, bands.bands)
-        order, found = np.argsort(key, kind="stable"), []
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = order[i:j]
-            left, right = (rows, rows) if lo == hi else (rows[side[rows] == lo], rows[side[rows] == hi])
-            for at in range(0, len(left), 256):
-                part = left[at : at + 256]
-                ok = of[part][:, None] != of[right][None, :]
-                if lo == hi:
-                    ok &= ids[part][:, None] < ids[right][None, :]
-                x, y = n[part][:, None], n[right][None, :]
-                ok &= (100 * np.minimum(x, y) >= bands.percent * np.maximum(x, y))
-                for earlier in range(int(band[rows[0]])):
-                    ok &= sig[part, earlier][:, None] != sig[right, earlier][None, :]
-                a, b = np.nonzero(ok)
-                for k in range(0, len(a), 4096):
-                    p, q = part[a[k : k + 4096]], right[b[k : k + 4096]]
-                    agree = (sig[p].view(np.uint8) == sig[q].view(np.uint8)).sum(axis=1)
-                    found.append((ids[p[agree >= least]], ids[q[agree >= least]]))
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    rows = reps.select("id", "bands").join(labels, "id").select("id", "component", "bands").mapInArrow(keys, "key long, band int, id long, component long")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to"), F.count("*").alias("many")).filter("from < to")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.col("key"), F.lit(groups)))).join(reps, "id")
-    return rows.select("g", "lo", "hi", "key", "band", "id", "component", "n", "block", "bands").groupBy("g", "lo", "hi").applyInArrow(block, "a long, b long")
+    return labelled.select("id", "component", "bands").mapInArrow(run, "key long, band int, id long, component long")
+
+
+def tasks(rows: DataFrame) -> DataFrame:
+    """(g, lo, hi, side, key, band, id): who meets whom under the keys that hold two components or more.
+
+    Documents of one component never meet. A key's largest component is dealt to blocks of its own,
+    which meet the blocks of the rest but not each other, so a large component with some
+    others beside it travels once for each block of these. Blocks of the rest meet each other. Keys of up to
+    BLOCK documents are one block, and many of them one group. side: 0 meets 1, 2 meets 2.
+    """
+    mixed = rows.groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to")).filter("from < to").select("key")
+    sizes = rows.join(mixed, "key").groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("many"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("big.component").alias("large"), blocks(F.col("big.n")).alias("nl"), blocks(F.col("many") - F.col("big.n")).alias("nr"), (F.col("many") > BLOCK).alias("split"))
+    is_large = F.col("component") == F.col("large")
+    rows = rows.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("id"), F.when(is_large, F.col("nl")).otherwise(F.col("nr"))).cast("int"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    meeting = lambda lo, hi, side: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), side.cast("int").alias("side"))
+    b = F.col("b")
+    of_rest = F.concat(
+        each("nr", lambda j: meeting(F.least(b, j), F.greatest(b, j), F.when(b == j, 2).when(b < j, 0).otherwise(1))), each("nl", lambda j: meeting(b, -1 - j, F.lit(0)))
+    )
+    of_large = each("nr", lambda i: meeting(i, -1 - b, F.lit(1)))
+    who = F.when(~F.col("split"), F.array(meeting(F.lit(0), F.lit(0), F.lit(2)))).when(is_large, of_large).otherwise(of_rest)
+    g = F.when(F.col("split"), F.col("key")).otherwise(F.pmod(F.col("key"), F.lit(4 * partitions(rows.sparkSession))))
+    return rows.select(g.alias("g"), F.inline(who), "key", "band", "id")
+
+
+def _candidates(group: pa.Table, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a task, in parts, that differ in component, share a key under the first band that both have, and are similar enough by size and signature.
+
+    The signatures must agree nearly as often as the similarity makes them (4.5 standard deviations below;
+    3 pairs in a million are missed at the limit, none in practice above).
+    """
+    total, s = bands.rows * bands.bands, bands.percent / 100
+    chance = s + (1 - s) / 256
+    least = total * chance - 4.5 * (total * chance * (1 - chance)) ** 0.5
+    key, ids, of, n, band, side = (group.column(c).to_numpy() for c in ("key", "id", "component", "n", "band", "side"))
+    sig = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, bands.bands)
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[i:j]
+        left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            ok = of[part][:, None] != of[right][None, :]
+            ok &= (side[part][:, None] != 2) | (ids[part][:, None] < ids[right][None, :])
+            x, y = n[part][:, None], n[right][None, :]
+            ok &= 100 * np.minimum(x, y) >= bands.percent * np.maximum(x, y)
+            for earlier in range(int(band[rows[0]])):
+                ok &= sig[part, earlier][:, None] != sig[right, earlier][None, :]
+            a, b = np.nonzero(ok)
+            for k in range(0, len(a), 4096):
+                p, q = part[a[k : k + 4096]], right[b[k : k + 4096]]
+                good = (sig[p].view(np.uint8) == sig[q].view(np.uint8)).sum(axis=1) >= least
+                if good.any():
+                    yield p[good], q[good]
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def remaining_links(reps: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(a, b): links between the components (labels: id, component) of documents that share a key, enough of them to join all that are linked.
+
+    Tasks look at signatures first and say which documents they need; only these documents' full sets
+    come to the tasks, which confirm pairs until they have joined what is linked. What leaves a task is its
+    needs and its joining links, never pairs: as many rows as it has documents at most.
+    """
+    known = reps.join(labels, "id")
+    rows = tasks(keys_of(known, bands))
+
+    def needs(group: pa.Table) -> pa.Table:
+        wanted = np.zeros(group.num_rows, bool)
+        for a, b in _candidates(group, bands):
+            wanted[a] = wanted[b] = True
+        return group.select(["g", "lo", "hi", "side", "key", "band", "id"]).filter(pa.array(wanted))
+
+    schema = "g long, lo int, hi int, side int, key long, band int, id long"
+    with_signature = rows.join(known.select("id", "n", "component", "bands"), "id").select("g", "lo", "hi", "side", "key", "band", "id", "n", "component", "bands")
+    needed = scratch.save(with_signature.groupBy("g", "lo", "hi").applyInArrow(needs, schema), "needed")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        ids, of = group.column("id").to_numpy(), group.column("component").to_pylist()
+        full, root, out = group.column("set"), {}, []
+
+        def find(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        for a, b in _candidates(group, bands):
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = find(of[p]), find(of[q])
+                if x != y and similar(np.frombuffer(full[p].as_py(), np.uint64), np.frombuffer(full[q].as_py(), np.uint64), bands.percent):
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(ids[p]), int(ids[q])))
+        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+
+    whole = needed.join(known.select("id", "n", "component", "bands"), "id").join(sets, "id").select("g", "lo", "hi", "side", "key", "band", "id", "n", "component", "bands", "set")
+    return whole.groupBy("g", "lo", "hi").applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:
@@ -267,7 +325,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     Null and empty texts and texts without words have an empty set and link with nothing. Rows with a
     null key link with nothing, have a null component and are kept. Repeated keys are one document
     that holds the links of all its rows. Documents with equal sets are linked at once, by one
-    aggregation, and only the smallest of them goes through the bands.
+    aggregation, and only the smallest of them goes through the bands. Other columns are dropped, whatever
+    their names. Long texts are hashed whole. An empty table gives an empty result.
     """
     rows = scratch.save(features(docs, bands, key, text), "features")
     full = rows.filter("n > 0 and id is not null")
@@ -283,8 +342,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     links = scratch.save(confirmed(stars, sets, bands), "links")
     part = components(links, scratch)
     labels = scratch.save(ends.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
-    rest = scratch.save(remaining_pairs(reps, labels, bands), "rest")
-    more = scratch.save(confirmed(rest, sets, bands), "more")
+    more = scratch.save(remaining_links(reps, labels, sets, bands, scratch), "more")
+    scratch.drop("classes", "reps", "stars", "ends", "sets", "labels", "needed")
     same = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(more).unionByName(same), scratch)
     out = rows.select("id", "n").join(final, "id", "left")

@@ -163,15 +163,51 @@ def test_near_duplicates(spark):
     assert minhash_dedup.near_duplicates(odd.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_remaining_pairs_in_blocks(spark, monkeypatch):
-    """Members of one key in different components, dealt to many blocks, lose no pair."""
+@pytest.mark.parametrize("block", (7, 2048))
+def test_one_key_in_blocks(spark, monkeypatch, block):
+    """Under a key that all share, documents of different components meet once, those of one component never."""
     bands = minhash_dedup.Bands()
     sig = np.zeros(bands.bands, np.uint64).tobytes()
-    reps = spark.createDataFrame([(i, 100, sig) for i in range(30)], "id long, n long, bands binary")
-    labels = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, component long")
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
-    got = sorted(map(tuple, minhash_dedup.remaining_pairs(reps, labels, bands).collect()))
-    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3]
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rows = spark.createDataFrame([(i, 100, 0 if i < 20 else i % 3 + 1, sig) for i in range(40)], "id long, n long, component long, bands binary")
+    met = minhash_dedup.tasks(minhash_dedup.keys_of(rows, bands).filter("band = 0")).collect()
+    groups, pairs = {}, []
+    for r in met:
+        groups.setdefault((r.g, r.lo, r.hi), []).append(r)
+    of = {r.id: r.component for r in rows.collect()}
+    for g in groups.values():
+        pairs += [(min(x.id, y.id), max(x.id, y.id)) for x in g for y in g if of[x.id] != of[y.id] and ((x.side, y.side) == (0, 1) or x.side == y.side == 2 and x.id < y.id)]
+    assert sorted(pairs) == [(a, b) for a in range(40) for b in range(a + 1, 40) if of[a] != of[b]]
+    if block == 7:  # twenty of one component never travel to more than the blocks of the others
+        assert max(sum(r.id == i for r in met) for i in range(20)) == 3
+
+
+@pytest.mark.parametrize("block", (64, 2048))
+def test_many_components_under_one_band(spark, monkeypatch, block):
+    """Two thousand documents share one band; what leaves the tasks grows with the documents, not with their pairs, and every link is found."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng, bands = np.random.default_rng(3), minhash_dedup.Bands()
+    n, sets, sigs = 2000, [], []
+    perms = bands.permutations()
+    for i in range(n):  # families of 20 around one set each; half of a family is linked to its first member, all are linked through others
+        base = np.random.default_rng(i // 20).integers(0, 1 << 63, 100).astype(np.uint64)
+        drop = (i % 20) * 2
+        x = np.unique(np.concatenate([base[drop:], np.arange(i // 20 * 1000, i // 20 * 1000 + drop).astype(np.uint64)]))
+        v = minhash_dedup.signature(x, bands, perms).copy()
+        v[0] = 7
+        sets.append(x)
+        sigs.append(v.tobytes())
+    at = rng.permutation(n).tolist()
+    reps = spark.createDataFrame([(at[i], len(sets[i]), sigs[i]) for i in range(n)], "id long, n long, bands binary")
+    labels, full = spark.createDataFrame([(i, i) for i in range(n)], "id long, component long"), spark.createDataFrame([(at[i], sets[i].tobytes()) for i in range(n)], "id long, set binary")
+    scratch = Scratch(spark, "t")
+    links = minhash_dedup.remaining_links(reps, labels, full, bands, scratch)
+    got = dict(map(tuple, components(links, scratch).collect()))
+    family = {}
+    for i in range(n):
+        family.setdefault(i // 20, []).append(at[i])
+    assert {got[v] for v in at} == {min(f) for f in family.values()} and all(got[v] == min(f) for f in family.values() for v in f)
+    assert links.count() <= 96 * n and scratch.spark.read.parquet(scratch.latest["needed"]).filter("band = 0").count() <= n * (2 + n // block)
 
 
 def test_components(spark):
