@@ -232,7 +232,11 @@ def pieces_of(path: str, cache: float = 1.0) -> Pieces:
 
 
 class Lattice:
-    """The window of one stream: feed() returns the ids that new text settles, close() the rest."""
+    """The window of one stream: feed() returns the ids that new text settles, close() the rest.
+
+    whole() feeds a text of any length in parts of four times the longest piece, so the window holds one part and
+    what the paths of the last positions don't agree on yet.
+    """
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
@@ -300,9 +304,12 @@ class Lattice:
 
     #: The piece that was committed last; empty at the beginning.
     before = ""
+    #: The longest window that a stream has held so far.
+    widest = 0
 
     def feed(self, text: str) -> list[int]:
         self.text += text
+        self.widest = max(self.widest, len(self.text))
         if self.p.kind == BPE:
             self._merges()
         else:
@@ -334,7 +341,11 @@ class Lattice:
     def whole(self, text: str) -> bytes:
         """The ids of a stream of one text, as little-endian unsigned 32-bit integers."""
         if self.p.kind != BPE or len(text) > 2 * self.p.longest:
-            return array("I", self.feed(text) + self.close()).tobytes()
+            out, step = array("I"), 4 * self.p.longest
+            for i in range(0, len(text), step):
+                out.extend(self.feed(text[i : i + step]))
+            out.extend(self.close())
+            return out.tobytes()
         self.text, self.piece = text, [""]
         self._merges()
         get, piece, at, ids = self.p.id.get, self.piece, len(text), []
@@ -365,7 +376,8 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
     """docs without the text, with n_ids, ids_crc32, round_trip (the decoded ids are the text) and, if asked, ids (little-endian 32-bit).
 
     No shuffle; a worker holds one batch, the vocabulary and bounded caches. Null and empty texts
-    have no ids. Repeated rows are encoded one by one; a column with a result's name is replaced.
+    have no ids, texts of any length are encoded whole. Repeated rows are encoded one by one; a column with a
+    result's name is replaced, other columns stay. An empty table gives an empty result.
     """
 
     def begin():
@@ -398,7 +410,7 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", text: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_documents(docs, default_model(), keep_ids=False, cache=2.5)
+    return encode_documents(docs, default_model())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,6 +336,20 @@ def test_sentence_pieces():
         assert ids + lattice.close() == p.ids_of(p.merged(s))
 
 
+def test_window_of_long_texts():
+    """The path of the query: texts without boundaries, whole, in a window of a few longest pieces."""
+    r = random.Random(8)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "a", "etaoinshrdlu", "é日本语abc", "ab1-"):
+        p = sentence_pieces.Pieces(sentence_pieces.default_model())
+        text = "".join(r.choice(alphabet) for _ in range(20000))
+        assert p.encode(text) == p.lib.encode(text)
+        assert p.lattice.widest <= 8 * p.longest
+    p.kind = sentence_pieces.UNIGRAM
+    p.lattice.widest = 0
+    p.lattice.whole("".join(r.choice("etaoinshr") for _ in range(20000)))
+    assert p.lattice.widest <= 8 * p.longest
+
+
 def test_unigram_lattice_is_viterbi():
     p = sentence_pieces.Pieces(sentence_pieces.default_model())
     p.kind = sentence_pieces.UNIGRAM
