@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodework.functions.arrow import raw as raw
 from lodework.functions.arrow import slices as slices
@@ -39,25 +41,40 @@ def with_columns(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], begi
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, most: int, seed: str):
-    """At most `most` rows of each group, those of the smallest hashes of the key, as Python rows by group.
+def chosen(rows: DataFrame, group: str, key: str, most: int, seed: str, most_groups: int = 500) -> tuple[DataFrame, dict]:
+    """Rows whose key's hash is small enough that about 1.2 * `most` of each group are left (all of a small one), with that hash as __u; and the count of rows of each group.
 
-    Counting the groups reads no texts. A hash threshold then picks about 1.2 times `most` rows
-    of each group, all of a small one, and the rows over `most` are dropped on the driver. So what
-    reaches the driver is bounded by the number of groups, and the same rows are picked on
+    Counting reads nothing but the group. Of more than most_groups groups the most frequent are
+    looked at, equal ones by name: this bounds what is fitted, not what is scored. The same rows are chosen on
     every run, however they are partitioned.
     """
-    from collections import defaultdict
-
-    from pyspark.sql import functions as F
-
-    rows = rows.filter(F.col(group).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    u = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("__u")
-    test = F.lit(False)
-    for value, n in counts.items():
-        test = test | ((F.col(group) == F.lit(value)) & (u < min(1.0, (1.2 * most + 20) / n)))
-    found = defaultdict(list)
-    for r in rows.filter(test).select("*", u).collect():  # bounded, see above
-        found[r[group]].append((r["__u"], str(r[key]), r))
-    return {g: [x[2] for x in sorted(v, key=lambda x: x[:2])[:most]] for g, v in found.items()}
+    counted = rows.filter(F.col(group).isNotNull() & F.col(key).isNotNull()).groupBy(group).agg(F.count("*").alias("__n"))
+    counted = counted.orderBy(F.desc("__n"), group).limit(most_groups)
+    counts = {r[0]: r[1] for r in counted.collect()}
+    u = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    shares = counted.sparkSession.createDataFrame([(g, min(1.0, (1.2 * most + 20) / n)) for g, n in counts.items()], counted.select(group).schema.add("__share", "double"))
+    return rows.join(F.broadcast(shares), group).withColumn("__u", u).filter("__u < __share").drop("__share"), counts
+
+
+def bounded_sample(rows: DataFrame, group: str, key: str, text: str, most: int, most_bytes: int, scratch: Scratch) -> dict:
+    """(key, text) lists by group of rows that chosen() has left: at most `most` keys a group in the order of __u, and at most most_bytes of texts a group.
+
+    Repeated rows of a key are one before anything reaches the driver, and texts are gathered only after
+    their lengths have been added up.
+    """
+    one = rows.filter(F.col(text).isNotNull()).groupBy(group, key).agg(F.min("__u").alias("u"), F.min(text).alias("text"))
+    one = scratch.save(one, "sample")
+    taken, seen, used = [], Counter(), Counter()
+    sizes = one.select(group, key, "u", F.octet_length("text").alias("n")).collect()  # numbers of about 1.2 * most rows a group
+    for r in sorted(sizes, key=lambda r: (r["u"], str(r[key]))):
+        if seen[r[group]] < most and used[r[group]] + r["n"] <= most_bytes:
+            seen[r[group]] += 1
+            used[r[group]] += r["n"]
+            taken.append((r[group], r[key]))
+    out: dict = {}
+    if taken:
+        wanted = one.sparkSession.createDataFrame(taken, one.select(group, key).schema)
+        for r in sorted(one.join(F.broadcast(wanted), [group, key]).collect(), key=lambda r: (r["u"], str(r[key]))):
+            out.setdefault(r[group], []).append((r[key], r["text"]))
+    scratch.drop("sample")
+    return out

@@ -18,10 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodework.llm.common import bounded_sample, with_columns
+from lodework.llm.common import Scratch, bounded_sample, chosen, with_columns
 
-#: Bound of what is fitted on: texts a language, and characters of each language's dictionary.
-SAMPLE_TEXTS, DICTIONARY_CHARS = 600, 100_000
+#: Bounds of what is fitted on: texts a language, bytes of them, and characters of each language's dictionary, which is cut from them.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_CHARS = 600, 16 << 20, 100_000
+#: zstandard's level, for texts of every length.
+LEVEL = 12
 #: Narrower than this (bytes saved over the second best, as a share of the best) is not accepted.
 MARGIN = 0.02
 
@@ -30,14 +32,13 @@ MARGIN = 0.02
 class LanguageModel:
     dictionaries: dict[str, bytes]
     margin: float = MARGIN
-    #: (greatest length in bytes, level): short texts offer few matches, and only the thorough levels find them.
-    levels: tuple[tuple[float, int], ...] = ((1000, 12), (float("inf"), 3))
+    level: int = LEVEL
 
-    def packers(self, level: int) -> dict[str, zstandard.ZstdCompressor]:
+    def packers(self) -> dict[str, zstandard.ZstdCompressor]:
         made = {}
         for lang, data in sorted(self.dictionaries.items()):
             shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=level)
+            shared.precompute_compress(level=self.level)
             made[lang] = zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
         return made
 
@@ -47,16 +48,16 @@ def normal(text: str) -> str:
     return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, chars: int = DICTIONARY_CHARS, seed: str = "language") -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES, chars: int = DICTIONARY_CHARS, seed: str = "language") -> LanguageModel:
     """Dictionaries from at most sample_texts whole texts a language, those of the smallest hashes of the key.
 
     The dictionary holds the pairs of words and the words that most texts of the sample share
     last, where zstandard reaches them at least cost, and whole sample texts before them.
-    Rows with null text or null label are left out.
+    Rows with null text, key or label are left out; repeated rows of a key count once.
     """
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    sample = bounded_sample(rows, "lang", "key", sample_texts, seed)
-    return LanguageModel({lang: _dictionary([normal(r["text"]) for r in x], chars) for lang, x in sample.items()})
+    sample = bounded_sample(chosen(rows, "lang", "key", sample_texts, seed)[0], "lang", "key", "text", sample_texts, sample_bytes, Scratch(docs.sparkSession, "language"))
+    return LanguageModel({lang: _dictionary([normal(t) for _, t in x], chars) for lang, x in sample.items()})
 
 
 def _dictionary(texts: list[str], chars: int) -> bytes:
@@ -91,17 +92,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """docs without the text, with lang_pred, score and accepted for every row; no shuffle.
 
     Null texts and texts without a letter are `und` with score 0. Ties go to the first language
-    by name. With no dictionary (nothing to learn from) every row is `und`.
+    by name. With no dictionary (nothing to learn from) every row is `und`. Texts of any length are compressed
+    whole, at one level. Repeated rows are judged one by one; a column that has the name of a result is
+    replaced, other columns stay. An empty table gives an empty result.
     """
 
     def begin():
-        by_length = [(most, model.packers(level)) for most, level in model.levels]
+        packers = model.packers()
 
         def one(t):
             if not model.dictionaries or not any(c.isalpha() for c in t):
                 return "und", 0.0, False
             data = normal(t).encode()
-            packers = next(p for most, p in by_length if len(data) <= most)
             sizes = sorted((len(p.compress(data)), lang) for lang, p in packers.items())
             gap = (sizes[1][0] - sizes[0][0]) / max(1, sizes[0][0]) if len(sizes) > 1 else 1.0
             weights = [math.exp(-50.0 * (s - sizes[0][0]) / max(1, sizes[0][0])) for s, _ in sizes]

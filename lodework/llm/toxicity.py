@@ -3,168 +3,256 @@
 Only documents are labelled, so the tokens are labelled first: words and word beginnings that
 toxic documents of the training rows hold far oftener than the others make a lexicon, and a
 token of a toxic document that matches it is an offending one. A two-state chain is trained on
-these labels (features: the word and its beginnings, and the change of state) by gradient ascent
-on the log-likelihood. A document's marginals come from forward-backward; words without a
-feature leave the chain in its stationary step, so whole runs of them are crossed with one matrix
-power. The marginals of a document are aggregated (their sum, largest and density) and
-calibrated to a probability.
+these labels by gradient ascent on the penalised log-likelihood. Every token has features, whether the lexicon
+knows it or not: the word, its beginnings and ending, its shape and length, the words beside it and
+the pair that it makes with the one before; the change of state has weights of its own. Forward-backward
+gives each token's marginal; a document's marginals are aggregated (their sum, largest and
+density) and calibrated, out of fold, to a probability at the true rate of toxic documents.
+
+The chain is run over all tokens of many texts at once: texts follow each other, a step into a new text
+forgets the state, and blocks of tokens are crossed with products of their 2 x 2 steps.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.llm.common import bounded_sample, with_columns
+from lodework.functions.words import mix
+from lodework.llm.common import Scratch, bounded_sample, chosen, with_columns
 from lodework.llm.language_id import remainder
 
-#: Bound of what is fitted on: labelled documents of each class.
-SAMPLE_DOCS = 2500
+#: Bounds of what is fitted on: labelled documents of each class, and bytes of their texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2500, 48 << 20
 TOKEN = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
-MIN_DOCS, MIN_LIFT = 5, 3.0
-WINDOW, EPOCHS, RATE, RIDGE = 8, 150, 0.5, 1e-3
+#: Lengths of beginnings of words in the lexicon and among the features.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: A lexicon feature occurs in so many toxic documents at least, at e^MIN_LIFT times the clean ones' rate.
+MIN_DOCS, MIN_LIFT = 5, 2.5
+WINDOW, EPOCHS, RATE, RIDGE = 8, 60, 0.15, 2e-4
+#: Features that occur in fewer tokens of the training windows have no weight.
+MIN_TOKENS = 3
+#: Marginals under this are not added up; a text counts this many tokens more when density is taken.
+BACKGROUND, FEW = 0.1, 30
+#: Words whose features' weights a worker remembers.
+WORDS = 300_000
 
 
-def features(word: str) -> Iterator[str]:
-    """The word itself and its beginnings."""
-    yield word
-    for n in PREFIXES:
-        if len(word) > n:
-            yield word[:n] + "*"
+def stems(word: str) -> list[str]:
+    """A lower-case word and its beginnings."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+def features(raw: str) -> tuple[list[str], list[str], list[str]]:
+    """Features of a token by itself, as the one before another token, and as the one after."""
+    w = raw.lower()
+    shape = "upper" if raw.isupper() and len(raw) > 1 else "title" if raw[:1].isupper() else "lower"
+    return [*stems(w), "end=" + w[-3:], "shape=" + shape, f"length={min(len(w), 12)}"], ["before=" + w, "before=" + w[:4] + "*"], ["after=" + w, "after=" + w[:4] + "*"]
+
+
+def word_hash(raw: str) -> int:
+    w = raw.lower().encode()
+    return zlib.crc32(w) | zlib.crc32(w, 0x9E3779B9) << 32
+
+
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Of each token but the first of the array the pair with the token before it."""
+    return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:])
+
+
+def marginals(unary: np.ndarray, begins: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """P(state 1) of each token of texts that follow each other and begin at these tokens; unary is state 1's weight over state 0's.
+
+    In blocks of tokens, side by side: products of the steps of each block, the state carried from block
+    to block, and then through each block, forwards and backwards.
+    """
+    n = len(unary)
+    if not n:
+        return np.zeros(0)
+    width = int(min(64, max(1, np.ceil(np.sqrt(n)))))
+    rows = -(-n // width)
+    e = np.ones(rows * width)
+    e[:n] = np.exp(np.clip(unary, -30, 30))
+    fresh = np.zeros(rows * width, bool)
+    fresh[begins], fresh[n:] = True, True
+    c = np.exp(change)
+    step = np.empty((rows * width, 2, 2))
+    step[:, :, 0] = np.where(fresh[:, None], 1.0, c[None, :, 0])
+    step[:, :, 1] = np.where(fresh[:, None], 1.0, c[None, :, 1]) * e[:, None]
+    step = step.reshape(rows, width, 2, 2)
+    through = step[:, 0]
+    for k in range(1, width):
+        through = through @ step[:, k]
+        through /= through.sum(axis=(1, 2), keepdims=True)
+    come, go = np.empty((rows, 2)), np.empty((rows, 2))
+    parts = through.tolist()
+    a, b = 1.0, 0.0
+    for r, ((p, q), (s, t)) in enumerate(parts):
+        come[r] = a, b
+        a, b = a * p + b * s, a * q + b * t
+        a, b = a / (a + b), b / (a + b)
+    a = b = 1.0
+    for r in range(rows - 1, -1, -1):
+        (p, q), (s, t) = parts[r]
+        go[r] = a, b
+        a, b = p * a + q * b, s * a + t * b
+        a, b = a / (a + b), b / (a + b)
+    forward = np.empty((rows, width, 2))
+    for k in range(width):
+        come = np.einsum("ri,rij->rj", come, step[:, k])
+        come /= come.sum(axis=1, keepdims=True)
+        forward[:, k] = come
+    for k in range(width - 1, -1, -1):
+        forward[:, k] *= go
+        go = np.einsum("rij,rj->ri", step[:, k], go)
+        go /= go.sum(axis=1, keepdims=True)
+    forward = forward.reshape(-1, 2)[:n]
+    return forward[:, 1] / forward.sum(axis=1)
 
 
 @dataclass
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: dict[int, float] = field(default_factory=dict)
     bias: float = -6.0
     change: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
     _memo: dict = field(default_factory=dict, repr=False)
-
-    def lift(self, word: str) -> float:
-        """The sum of the weights of the word's features; 0 for words without any."""
-        got = self._memo.get(word)
-        if got is None:
-            got = sum(self.weights.get(f, 0.0) for f in features(word))
-            if len(self._memo) > 300_000:
-                self._memo.clear()
-            self._memo[word] = got
-        return got
-
-    def step(self) -> np.ndarray:
-        return np.exp(self.change) * np.exp(np.array([0.0, self.bias]))[None, :]
-
-    def marginals(self, lifts: list[tuple[int, float]], n: int) -> list[float]:
-        """P(state 1) of each token with a feature, by forward-backward over all n tokens."""
-        if not lifts:
-            return []
-        # The chain's step without features, diagonalised, crosses a run of plain tokens at once.
-        values, vectors = np.linalg.eig(self.step())
-        values, inverse = values / np.max(np.abs(values)), np.linalg.inv(vectors)
-
-        def run(k: int) -> np.ndarray:
-            return np.real((vectors * values**k) @ inverse)
-
-        begin = np.exp(np.array([0.0, self.bias]))
-        start = lifts[0][0]
-        v = begin if start == 0 else begin @ run(start)
-        forward = []
-        for i, (at, lift) in enumerate(lifts):
-            if i:
-                v = forward[-1] @ run(at - lifts[i - 1][0])
-            v = np.abs(v) * np.array([1.0, np.exp(min(lift, 50.0))])
-            forward.append(v / v.sum())
-        b, out = np.abs(run(n - 1 - lifts[-1][0]) @ np.ones(2)), []
-        for i in range(len(lifts) - 1, -1, -1):
-            p = forward[i] * b
-            out.append(float(p[1] / p.sum()))
-            if i:
-                at, lift = lifts[i]
-                b = np.abs(run(at - lifts[i - 1][0]) @ (b * np.array([1.0, np.exp(min(lift, 50.0))])))
-                b /= b.sum()
-        return out[::-1]
-
-    def tag(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
-        """(start, end, marginal) in code points of each token with a feature, and the number of tokens."""
-        low = text.lower()
-        if len(low) != len(text):  # a few capitals grow when lower-cased; offsets are the text's
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found, n = [], 0
-        for m in TOKEN.finditer(low):
-            lift = self.lift(m[0])
-            if lift:
-                found.append((n, lift, m.start(), m.end()))
-            n += 1
-        ps = self.marginals([(i, lift) for i, lift, *_ in found], n)
-        return [(a, b, p) for (_, _, a, b), p in zip(found, ps, strict=True)], n
-
-    def evidence(self, text: str) -> np.ndarray:
-        tags, n = self.tag(text)
-        total = sum(p for *_, p in tags)
-        return np.array([1.0, np.log1p(total), max((p for *_, p in tags), default=0.0), np.sqrt(total / max(1, n))])
-
-    def score(self, text: str) -> float:
-        z = float(np.clip(self.evidence(text) @ np.array(self.calibration), -30, 30))
-        return 1.0 / (1.0 + np.exp(-z))
+    _lifts: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3)), repr=False)
+    _hashes: np.ndarray = field(default_factory=lambda: np.zeros(1024, np.uint64), repr=False)
+
+    def _learn(self, words: set[str]) -> None:
+        memo = self._memo
+        if len(memo) + len(words) > WORDS:
+            memo.clear()
+        if len(memo) + len(words) > len(self._lifts):
+            more = max(len(self._lifts), len(words))
+            self._lifts, self._hashes = np.concatenate([self._lifts, np.zeros((more, 3))]), np.concatenate([self._hashes, np.zeros(more, np.uint64)])
+        get = self.weights.get
+        for w in words:
+            if w not in memo:
+                self._lifts[len(memo)] = [sum(get(f, 0.0) for f in fs) for fs in features(w)]
+                self._hashes[len(memo)] = word_hash(w)
+                memo[w] = len(memo)
+
+    def unary(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of state 1 of all tokens of the texts, one after the other, and where each text with tokens begins."""
+        flat = [w for t in texts for w in t]
+        missing = set(flat) - self._memo.keys()
+        if missing:
+            if len(self._memo) + len(missing) > WORDS:
+                missing = set(flat)
+            self._learn(missing)
+        at = np.fromiter(map(self._memo.__getitem__, flat), np.int64, len(flat))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+        out = self.bias + self._lifts[at, 0]
+        if len(at) > 1:
+            joined = np.ones(len(at) - 1, bool)
+            joined[begins[1:] - 1] = False
+            out[1:] += np.where(joined, self._lifts[at[:-1], 1], 0.0)
+            out[:-1] += np.where(joined, self._lifts[at[1:], 2], 0.0)
+            if self.pairs:
+                known = np.array(sorted(self.pairs), np.uint64)
+                values = np.array([self.pairs[int(k)] for k in known])
+                h = pair_hashes(self._hashes[at])
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                out[1:] += np.where(joined & (known[place] == h), values[place], 0.0)
+        return out, begins
+
+    def tag(self, texts: list[str]) -> list[np.ndarray]:
+        """The marginals of the tokens of each text."""
+        tokens = [TOKEN.findall(t) for t in texts]
+        unary, begins = self.unary(tokens)
+        p = marginals(unary, begins, self.change)
+        return np.split(p, np.cumsum([len(t) for t in tokens])[:-1]) if texts else []
+
+    @staticmethod
+    def evidence(p: np.ndarray) -> list[float]:
+        """Sum, largest and density of the marginals; what every token has of background, and few tokens, say little."""
+        total = float(p[p >= BACKGROUND].sum())
+        return [1.0, float(np.log1p(total)), float(p.max(initial=0.0)), float(np.sqrt(total / (len(p) + FEW)))]
+
+    def scores(self, marginals: list[np.ndarray]) -> np.ndarray:
+        if not marginals:
+            return np.zeros(0)
+        z = np.array([self.evidence(p) for p in marginals]) @ np.array(self.calibration)
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 def lexicon(docs: list[tuple[str, int]]) -> set[str]:
-    """Features of words at least e^MIN_LIFT times as frequent among toxic documents, in MIN_DOCS of them or more."""
+    """Words and beginnings in MIN_DOCS toxic documents or more, at e^MIN_LIFT times the others' rate."""
     seen, n = (Counter(), Counter()), [0, 0]
     for text, toxic in docs:
         n[toxic] += 1
-        seen[toxic].update({f for w in set(TOKEN.findall(text.lower())) for f in features(w)})
-    found = set()
-    for f, k in seen[1].items():
-        lift = np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1))
-        if k >= MIN_DOCS and lift >= MIN_LIFT and k >= 4 * seen[0][f]:
-            found.add(f)
-    return found
-
-
-def _windows(docs: list[tuple[str, int]], lex: set[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Token windows around matches, and as many plain ones, each with its features and labels."""
-    out, plain = [], 0
+        seen[toxic].update({f for w in set(TOKEN.findall(text.lower())) for f in stems(w)})
+    rate = lambda f, y: np.log((seen[y][f] + 0.5) / (n[y] + 1))
+    return {f for f, k in seen[1].items() if k >= MIN_DOCS and rate(f, 1) - rate(f, 0) >= MIN_LIFT}
+
+
+def _windows(docs: list[tuple[str, int]], lex: set[str]) -> list[tuple[list[str], list[int]]]:
+    """Token windows around matches, and as many documents' beginnings without any, with their labels."""
+    out, known = [], {}
     for text, toxic in docs:
-        tokens = TOKEN.findall(text.lower())
-        feats = [[f for f in features(w) if f in lex] for w in tokens]
-        hits = [i for i, f in enumerate(feats) if f]
+        tokens = TOKEN.findall(text)
+        hits = []
+        for i, w in enumerate(tokens):
+            if w not in known:
+                known[w] = any(f in lex for f in stems(w.lower()))
+            if known[w]:
+                hits.append(i)
         last = -1
         for i in hits:
             if i > last:
                 a, last = max(0, i - WINDOW), min(len(tokens), i + WINDOW)
-                out.append((feats[a:last], [int(bool(f) and toxic == 1) for f in feats[a:last]]))
-        if not hits and tokens and plain < len(docs):
-            out.append((feats[: 2 * WINDOW], [0] * len(feats[: 2 * WINDOW])))
-            plain += 1
+                out.append((tokens[a:last], [int(known[w] and toxic == 1) for w in tokens[a:last]]))
+        if not hits and tokens:
+            middle = max(0, len(tokens) // 2 - WINDOW)
+            out.append((tokens[middle : middle + 2 * WINDOW], [0] * len(tokens[middle : middle + 2 * WINDOW])))
     return out
 
 
-def train_chain(windows, names: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights of the features, bias and transition weights that maximise the penalised log-likelihood."""
-    index = {f: i for i, f in enumerate(names)}
-    longest = max(len(y) for _, y in windows)
-    n = len(windows)
+def train_chain(windows: list[tuple[list[str], list[int]]], model: ToxicityModel, epochs: int = EPOCHS) -> None:
+    """Set the model's weights, bias and change so that they maximise the penalised log-likelihood of the windows."""
+    longest, n = max(len(y) for _, y in windows), len(windows)
     valid, gold = np.zeros((n, longest), bool), np.zeros((n, longest), np.int64)
-    rows, cols = [], []
-    for i, (fs, y) in enumerate(windows):
+    names: dict = {}
+    rows, cols, memo = [], [], {}
+
+    def add(i: int, t: int, fs) -> None:
+        for f in fs:
+            rows.append(i * longest + t)
+            cols.append(names.setdefault(f, len(names)))
+
+    for i, (words, y) in enumerate(windows):
         valid[i, : len(y)], gold[i, : len(y)] = True, y
-        for t, f in enumerate(fs):
-            for x in f:
-                rows.append(i * longest + t)
-                cols.append(index[x])
+        for w in words:
+            if w not in memo:
+                memo[w] = (*features(w), word_hash(w))
+        pairs = pair_hashes(np.array([memo[w][3] for w in words], np.uint64)).tolist() if len(words) > 1 else []
+        for t, w in enumerate(words):
+            add(i, t, memo[w][0])
+            if t:
+                add(i, t, memo[words[t - 1]][1])
+                add(i, t, [pairs[t - 1]])
+            if t + 1 < len(words):
+                add(i, t, memo[words[t + 1]][2])
     rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    w, bias, change = np.zeros(len(names)), -2.0, np.zeros((2, 2))
-    m = [np.zeros(len(names) + 5), np.zeros(len(names) + 5)]
-    for epoch in range(1, EPOCHS + 1):
+    often = np.bincount(cols, minlength=len(names)) >= MIN_TOKENS
+    number = np.cumsum(often) - 1
+    rows, cols = rows[often[cols]], number[cols[often[cols]]]
+    kept = [f for f, ok in zip(names, often.tolist(), strict=True) if ok]
+    w, bias, change = np.zeros(len(kept)), -2.0, np.zeros((2, 2))
+    m = [np.zeros(len(kept) + 5), np.zeros(len(kept) + 5)]
+    for epoch in range(1, epochs + 1):
         unary = np.zeros((n, longest, 2))
         unary[:, :, 1] = bias + np.bincount(rows, w[cols], n * longest).reshape(n, longest)
         a, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
@@ -184,87 +272,105 @@ def train_chain(windows, names: list[str]) -> tuple[np.ndarray, float, np.ndarra
                 for j in (0, 1):
                     e = np.exp(a[:, t - 1, i] + change[i, j] + unary[:, t, j] + b[:, t, j] - z)
                     dchange[i, j] += np.sum(((gold[:, t - 1] == i) & (gold[:, t] == j) & ok) - e * ok)
-        grad = np.concatenate([np.bincount(cols, err.reshape(-1)[rows], len(names)), [err.sum()], dchange.reshape(-1)]) / n
+        grad = np.concatenate([np.bincount(cols, err.reshape(-1)[rows], len(kept)), [err.sum()], dchange.reshape(-1)]) / n
         theta = np.concatenate([w, [bias], change.reshape(-1)])
         grad -= RIDGE * theta
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.999 * m[1] + 0.001 * grad**2
-        theta += RATE * 0.2 * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.999**epoch)) + 1e-8)
-        w, bias, change = theta[: len(names)], float(theta[len(names)]), theta[len(names) + 1 :].reshape(2, 2)
-    return w, bias, change
+        theta += RATE * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.999**epoch)) + 1e-8)
+        w, bias, change = theta[: len(kept)], float(theta[len(kept)]), theta[len(kept) + 1 :].reshape(2, 2)
+    model.weights = {f: x for f, x in zip(kept, w.tolist(), strict=True) if isinstance(f, str) and abs(x) > 1e-4}
+    model.pairs = {f: x for f, x in zip(kept, w.tolist(), strict=True) if not isinstance(f, str) and abs(x) > 1e-4}
+    model.bias, model.change = bias, change
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's steps with a small ridge."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression by Newton's steps with a small ridge."""
     beta = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-        beta += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.05 * beta), -3, 3)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
+        beta += np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.05 * beta), -3, 3)
     return beta
 
 
-def train(docs: list[tuple[str, int]]) -> ToxicityModel:
-    """Fit on (whole text, 0 or 1) pairs. Half of them make the lexicon and the chain that the other half is scored with for calibration; the final chain has all."""
+def _chain(windows: list) -> ToxicityModel:
+    model = ToxicityModel()
+    if windows:
+        train_chain(windows, model)
+    return model
+
+
+def _in_tasks(spark: SparkSession):
+    """A map() whose calls are tasks on executors; what they are given are windows, some MB at most."""
+
+    def each(f, items: list) -> list:
+        def run(batches):
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pickle.dumps(f(items[i]))], pa.binary())], names=["id", "model"])
+
+        rows = spark.range(0, len(items), 1, len(items)).mapInArrow(run, "id long, model binary").collect()
+        return [pickle.loads(r["model"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+    return each
+
 
-    def chain(part):
-        lex = lexicon(part)
-        model = ToxicityModel()
-        if lex:
-            names = sorted(lex)
-            w, bias, change = train_chain(_windows(part, lex), names)
-            model.weights, model.bias, model.change = dict(zip(names, w.tolist(), strict=True)), bias, change
-        return model
+def train(docs: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0), each=lambda f, items: list(map(f, items))) -> ToxicityModel:
+    """Fit on (whole text, 0 or 1) pairs; weights say how many documents a clean and a toxic one stand for.
 
+    Half of them make the lexicon and the chain that the other half is scored with for calibration; the final
+    chain has all. The three chains are trained side by side where `each` does that.
+    """
     if not docs or len({y for _, y in docs}) < 2:
         return ToxicityModel()
     halves = (docs[::2], docs[1::2])
+    first, second, model = each(_chain, [_windows(part, lex) if (lex := lexicon(part)) else [] for part in (*halves, docs)])
     x, y = [], []
-    for fitted, scored in (halves, halves[::-1]):
-        m = chain(fitted)
-        x += [m.evidence(t) for t, _ in scored]
+    for m, scored in ((first, halves[1]), (second, halves[0])):
+        for i in range(0, len(scored), 64):
+            x += [m.evidence(p) for p in m.tag([t for t, _ in scored[i : i + 64]])]
         y += [v for _, v in scored]
-    model = chain(docs)
-    model.calibration = tuple(_calibrate(np.array(x), np.array(y, float)).tolist())
+    model.calibration = tuple(_calibrate(np.array(x), np.array(y, float), np.array([weights[v] for v in y])).tolist())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
-    """Train on at most sample_docs whole texts of each class; rows with null text, key or label are left out, repeated labels of a key count once."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__toxic"))
-    picked = bounded_sample(known, "__toxic", key, sample_docs, "toxicity")
-    ids = [(r[key], int(r["__toxic"])) for rows in picked.values() for r in rows]
-    if not ids:
-        return ToxicityModel()
-    wanted = docs.sparkSession.createDataFrame(ids, [key, "__toxic"])
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(wanted), key)  # 2 * sample_docs rows at most
-    rows = sorted({(str(r[key]), r["__t"], r["__toxic"]) for r in texts.collect()})
-    order = sorted(rows, key=lambda r: (hash_of(r[0]), r))
-    return train([(t, y) for _, t, y in order])
-
-
-def hash_of(s: str) -> int:
-    import zlib
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Train on at most sample_docs whole texts of each class, and sample_bytes of them.
 
-    return zlib.crc32(("toxicity:" + s).encode())
+    Rows with null text, key or label are left out; repeated labels of a key count once, as toxic if one of
+    them is. A class that is sampled is weighted by its size, so calibration follows the true rate
+    however large the table is.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__toxic"))
+    picked, counts = chosen(known, "__toxic", "__key", sample_docs, "toxicity")
+    # About 1.2 * sample_docs rows of each class, of keys alone.
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(picked), "__key")
+    found = bounded_sample(texts, "__toxic", "__key", "text", sample_docs, sample_bytes, Scratch(docs.sparkSession, "toxicity"))
+    rows = sorted(((zlib.crc32(("toxicity:" + str(k)).encode()), str(k), t, y) for y, part in found.items() for k, t in part))
+    weights = tuple(counts.get(y, 0) / max(1, len(found.get(y, ()))) for y in (0, 1))
+    least = min((w for w in weights if w > 0), default=1.0)
+    return train([(t, y) for *_, t, y in rows], tuple(w / least for w in weights), _in_tasks(docs.sparkSession))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs without the text, with score, predicted and offending spans (start:end:marginal) of every row; no shuffle.
 
-    Null and empty texts hold no offending token and get the calibrated score of that. Repeated
-    rows are scored one by one; a column that has the name of a result is replaced.
+    Null and empty texts hold no token and get the calibrated score of that. Texts of any length are
+    scored whole. Repeated rows are scored one by one; a column that has the name of a result is replaced, other
+    columns stay. An empty table gives an empty result.
     """
 
     def begin():
-        def one(t):
-            tags, n = model.tag(t)
-            total = sum(p for *_, p in tags)
-            x = np.array([1.0, np.log1p(total), max((p for *_, p in tags), default=0.0), np.sqrt(total / max(1, n))])
-            s = float(1.0 / (1.0 + np.exp(-np.clip(x @ np.array(model.calibration), -30, 30))))
-            return s, int(s >= threshold), ",".join(f"{a}:{b}:{p:.3f}" for a, b, p in tags if p >= 0.5)
-
-        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[], [], []]
+        def spans(t, p):
+            return ",".join(f"{m.start()}:{m.end()}:{x:.3f}" for m, x in zip(TOKEN.finditer(t), p.tolist(), strict=True) if x >= 0.5)
+
+        def work(texts):
+            tagged = model.tag(texts)
+            scores = model.scores(tagged)
+            return [scores.tolist(), (scores >= threshold).astype(int).tolist(), [spans(t, p) if p.max(initial=0.0) >= 0.5 else "" for t, p in zip(texts, tagged, strict=True)]]
+
+        return work
 
     return with_columns(docs, text, {"score": pa.float64(), "predicted": pa.int32(), "offending": pa.string()}, begin)
 
