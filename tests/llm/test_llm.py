@@ -407,6 +407,70 @@ def test_secrets(spark):
     assert clean[0] is None and clean[2] == "é [SECRET]'" and "Xy12" not in clean[8] and clean[11] == texts[11]
 
 
+KEY = "Zk9xQ2vLmT7pRw4s"
+#: Texts, and the literals that are bound to sensitive names in them.
+BINDINGS = [
+    (f'private_access = "{KEY}"', [f'"{KEY}"']), (f'api_access: "{KEY}"', [f'"{KEY}"']), (f'{"x" * 130}_passphrase = "{KEY}"', [f'"{KEY}"']),
+    (f'x = "{KEY}"\nmy_auth = x', [f'"{KEY}"']), (f'my_auth = x\nx = "{KEY}"', [f'"{KEY}"']), (f'x = "{KEY}"\nx = f()\nmy_auth = x', []),
+    (f'a = "{KEY}"\nb = a\nc = b\ncredential = c', [f'"{KEY}"']), ('a = b\nb = a\ncredential = a', []), (f'f(x="{KEY}")\nmy_auth = x', []),
+    ("p = 'Zk9xQ'\nq = '2vLmT7pRw4s'\ncredential = p + q", ["'Zk9xQ'", "'2vLmT7pRw4s'"]), ('signing_private_key = "Ab1" + "cD2eF3gH4i"', ['"Ab1"', '"cD2eF3gH4i"']),
+    ('{"client_secret_value": "aB3$dE5fG7hJ9k"}', ['"aB3$dE5fG7hJ9k"']), (f"<credentials>{KEY}</credentials>", [KEY]), (f'<add key="DbPwd" value="{KEY}"/>', [f'"{KEY}"']),
+    (f"- name: DB_CREDENTIAL\n  value: {KEY}\n", [KEY]), (f'setenv("PRIVATE_KEY", "{KEY}")', [f'"{KEY}"']), (f"curl --auth-bearer {KEY} http://x", [KEY]),
+    (f"private_key: |\n  -----BEGIN PRIVATE KEY-----\n  {KEY}\n  -----END PRIVATE KEY-----\nother: 1", [f"-----BEGIN PRIVATE KEY-----\n  {KEY}\n  -----END PRIVATE KEY-----"]),
+    (f"PRIVATE_KEY=$(cat <<EOF\n{KEY}\nEOF\n)", [KEY]), (f'let authBearer: String = "{KEY}";', [f'"{KEY}"']), (f"conn[\"pwd\"] = '{KEY}'", [f"'{KEY}'"]),
+    (f"# credential = '{KEY}'", [f"'{KEY}'"]), (f'credential = """{KEY}"""', [f'"""{KEY}"""']), (f"don't use credential = '{KEY}', it's bad", [f"'{KEY}'"]),
+    (f'passphrase = "{KEY}".strip()', [f'"{KEY}"']), (f'credential = get("{KEY}")', []), (f"credential = env['X'] or '{KEY}'", []), ('key = "hello there all friends 123"', []),
+    ("the token of the key: value is plain", []), ("passphrase = undefined", []), (f'plain_name = "{KEY}"', []), (f"# x = '{KEY}'\nmy_auth = x", []),
+]
+
+
+@pytest.mark.parametrize("text,want", BINDINGS)
+def test_bindings(text, want):
+    assert [text[a:b] for a, b, _ in secret_scan.lexed_spans(text)] == want
+
+
+def test_constants_against_brute_force():
+    """Random programs of constants, against a walk over all that each name can mean."""
+    r = random.Random(6)
+    for _ in range(200):
+        names, lines = ["a", "b", "c", "my_credential", "auth_token_value"], []
+        for i in range(r.randint(1, 12)):
+            lines.append((r.choice(names), r.choice((f'"{KEY}{i}"', f'"{KEY}{i}"', r.choice(names), r.choice(names), "f()"))))
+        text = "\n".join(f"{n} = {v}" for n, v in lines)
+        want, work = set(), [i for i, (n, _) in enumerate(lines) if n in names[3:]]
+        seen = set()
+        while work:
+            i = work.pop()
+            if i in seen:
+                continue
+            seen.add(i)
+            v = lines[i][1]
+            if v.startswith('"'):
+                want.add(v)
+            elif v in names:
+                before, after = [j for j in range(i) if lines[j][0] == v], [j for j in range(i + 1, len(lines)) if lines[j][0] == v]
+                work += before[-1:] or after[:1]
+        assert {text[a:b] for a, b, _ in secret_scan.lexed_spans(text)} == want, text
+
+
+def test_secrets_of_long_and_odd_texts(spark, empty):
+    import time
+
+    began = time.time()
+    many = "".join(f'api_access_{i} = "{KEY}{i}"\n' for i in range(40000))
+    base, spans = secret_scan.scan(many + "token = 'abcdef12'\n" * 20000)
+    assert len(base) == 20000 and len(spans) == 60000
+    for t in ("x" * 10**6, "'" * 10**5 + " key", '"' * 100001 + " key =", '"""' * 30001 + " key", "a.b-" * 10**5 + " key", "-" * 10**5 + " key", "<a>" * 10**5 + "key", "key: " * 10**5, "x = y\ny = x\n" * 20000 + "auth_token=x", "key=<<A\n" * 20000, "<key>" + "b" * 10**6):
+        secret_scan.scan(t)
+    assert time.time() - began < 120  # seconds; quadratic steps would take hours
+    assert secret_scan.secret_scan(empty).count() == 0 == secret_scan.redact(empty).count()
+    rows = [(1, "token = 'abcdef12'", "a", 1), (1, "token = 'abcdef12'", "a", 1), (2, None, "b", 2)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, __text string, __row long")
+    got = sorted(map(tuple, secret_scan.redact(clash).collect()), key=str)
+    assert got == sorted([(1, "[SECRET]'", "a", 1), (1, "[SECRET]'", "a", 1), (2, None, "b", 2)], key=str)
+    assert [r.n_assign for r in secret_scan.secret_scan(clash.withColumnRenamed("__row", "spans")).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_toxicity(spark):
     r, rows, labels = random.Random(0), [], []
     for i in range(300):
@@ -429,19 +493,96 @@ def test_toxicity(spark):
     assert none.count() == len(rows)
 
 
-def test_chain_marginals_against_enumeration():
+def brute_marginals(unary, change):
+    """By all state sequences."""
     from itertools import product
 
-    m = toxicity.ToxicityModel({"bad": 4.0, "mean": 3.0}, -1.5, np.array([[0.2, -0.4], [-0.3, 0.7]]))
-    text = "ok bad ok ok mean bad ok"
-    words = text.split()
-    total, one = 0.0, np.zeros(len(words))
-    for states in product((0, 1), repeat=len(words)):
-        s = sum((m.bias + m.lift(w)) * y for w, y in zip(words, states)) + sum(m.change[a, b] for a, b in zip(states, states[1:]))
-        total += math.exp(s)
-        one += math.exp(s) * np.array(states)
-    tags, n = m.tag(text)
-    assert n == len(words) and np.allclose([p for *_, p in tags], [one[i] / total for i, w in enumerate(words) if m.lift(w)])
+    total, one = 0.0, np.zeros(len(unary))
+    for states in product((0, 1), repeat=len(unary)):
+        e = math.exp(sum(u * y for u, y in zip(unary, states)) + sum(change[a, b] for a, b in zip(states, states[1:])))
+        total += e
+        one += e * np.array(states)
+    return one / total
+
+
+def test_chain_marginals_against_enumeration():
+    change, rng = np.array([[0.2, -0.4], [-0.3, 0.7]]), np.random.default_rng(0)
+    for sizes in ((1,), (7,), (3, 1, 9, 2, 8)):
+        unary = rng.normal(size=sum(sizes)) * 2
+        begins = np.cumsum((0, *sizes[:-1]))
+        want = np.concatenate([brute_marginals(part, change) for part in np.split(unary, begins[1:])])
+        assert np.allclose(toxicity.marginals(unary, begins, change), want)
+    # A long text against the same recursion token by token.
+    unary, a, forward = rng.normal(size=5000) * 3, np.ones(2) / 2, []
+    step = lambda u: np.exp(change) * np.exp([0.0, u])[None, :]
+    a = np.exp([0.0, unary[0]])
+    for i, u in enumerate(unary):
+        a = a @ step(u) if i else a
+        a = a / a.sum()
+        forward.append(a)
+    b, want = np.ones(2), []
+    for i in range(4999, -1, -1):
+        p = forward[i] * b
+        want.append(p[1] / p.sum())
+        b = step(unary[i]) @ b
+        b = b / b.sum()
+    assert np.allclose(toxicity.marginals(unary, np.array([0]), change), want[::-1])
+
+
+def test_unary_weights_of_tokens():
+    """Every token has features: its own, its neighbours' and its pair's; a text doesn't see the one before."""
+    m = toxicity.ToxicityModel({"bad": 4.0, "ba*": 9.0, "mea*": 3.0, "before=bad": 0.5, "after=mean": 0.25, "shape=upper": 1.0, "end=ean": 0.125}, bias=-1.5)
+    pair = int(toxicity.pair_hashes(np.array([toxicity.word_hash("ok"), toxicity.word_hash("BAD")], np.uint64))[0])
+    m.pairs = {pair: 2.0}
+    unary, begins = m.unary([["ok", "BAD", "x"], [], ["x", "mean"], ["BAD"]])
+    assert begins.tolist() == [0, 3, 5]
+    assert np.allclose(unary + 1.5, [0, 4 + 1 + 2, 0.5, 0.25, 3.125, 5])
+
+
+def test_chain_learns_context():
+    """A word that is offending only after another one: the lexicon can't know, the chain does."""
+    r = random.Random(1)
+    windows = []
+    for _ in range(400):
+        words = [r.choice(("sun", "moon", "star", "rain")) for _ in range(10)]
+        labels = [0] * 10
+        at = r.randrange(1, 10)
+        words[at - 1], words[at] = r.choice((("you", "fool"), ("april", "fool")))
+        labels[at] = int(words[at - 1] == "you")
+        windows.append((words, labels))
+    m = toxicity.ToxicityModel()
+    toxicity.train_chain(windows, m)
+    bad, good = m.tag(["rain you fool sun", "rain april fool sun"])
+    assert bad[2] > 0.8 and good[2] < 0.2
+
+
+def test_toxicity_edges(spark, empty):
+    model = toxicity.ToxicityModel({"vile": 12.0}, calibration=(-3.0, 4.0, 0.0, 8.0))
+    long = "fine " * 200000 + "vile " * 3
+    rows = [(1, None, 5), (1, None, 5), (2, "", 5), (3, long, 5), (3, long, 5), (4, "Vile VILE vile", 5)]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string, score int"), model).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.doc_id)] == [1, 1, 2, 3, 3, 4]
+    by = {r.doc_id: r for r in got}
+    assert by[1].score == by[2].score and by[4].predicted == 1 and by[4].offending.startswith("0:4:") and by[3].offending.count(",") == 2
+    assert toxicity.toxicity(empty, model).count() == 0 and toxicity.toxicity(empty, model).columns[-3:] == ["score", "predicted", "offending"]
+    # Labels of one class, of no class, repeated and null ones.
+    marks = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, score int"), marks).weights == {}
+
+
+def test_bounded_sample(spark):
+    """One key may hold most rows and texts may be long: what is gathered stays bounded, and the same on every run."""
+    from lodework.llm.common import bounded_sample, chosen
+
+    rows = [("a", 7, "x" * 10)] * 3000 + [("a", i, "y" * 100) for i in range(100, 160)] + [("b", i, "z") for i in range(5)] + [("b", 50, None), (None, 1, "q")] + [(f"rare{i}", i, "w") for i in range(3)]
+    table = spark.createDataFrame(rows, "g string, k long, t string")
+    runs = []
+    for part in (1, 5):
+        some, counts = chosen(table.repartition(part), "g", "k", 10000, "s", most_groups=2)
+        runs.append(bounded_sample(some, "g", "k", "t", 20, 1000, Scratch(spark, "t")))
+        assert counts == {"a": 3060, "b": 6}
+    assert runs[0] == runs[1] and set(runs[0]) == {"a", "b"}
+    assert len(runs[0]["b"]) == 5 and len({k for k, _ in runs[0]["a"]}) == len(runs[0]["a"]) and sum(len(t) for _, t in runs[0]["a"]) <= 1000
 
 
 def test_language(spark, empty):
@@ -455,6 +596,18 @@ def test_language(spark, empty):
     assert np.mean([got[i].lang_pred == lang for i, _, lang in held]) > 0.95
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"} and all(0 <= x.score <= 1 for x in got.values())
     assert language_id.identify(docs, language_id.fit(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
+    # Brute force: the smallest of each text's lengths, compressed by the library with each dictionary.
+    for i, t, _ in rows[:60]:
+        sizes = []
+        for lang, data in sorted(model.dictionaries.items()):
+            shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=shared, write_content_size=False, write_dict_id=False)
+            sizes.append((len(packer.compress(language_id.normal(t).encode())), lang))
+        sizes.sort()
+        assert got[i].lang_pred == sizes[0][1] and got[i].accepted == ((sizes[1][0] - sizes[0][0]) / sizes[0][0] >= language_id.MARGIN)
+    long = spark.createDataFrame([(1, rows[0][1] * 3000, "old"), (1, rows[0][1] * 3000, "old"), (2, None, None)], "doc_id long, text string, score string")
+    assert [(x.doc_id, x.lang_pred) for x in sorted(language_id.identify(long, model).collect(), key=lambda x: x.doc_id)] == [(1, "aa"), (1, "aa"), (2, "und")]
+    assert language_id.identify(empty, model).count() == 0
 
 
 def brute_quality(t):
