@@ -218,7 +218,7 @@ def tasks(rows: DataFrame) -> DataFrame:
     BLOCK documents are one block, and many of them one group. side: 0 meets 1, 2 meets 2.
     """
     mixed = rows.groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to")).filter("from < to").select("key")
-    sizes = rows.join(mixed, "key").groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = rows.join(mixed, "key").groupBy("key", "component").agg(F.count("*").alias("n"))  # partitioned by the key already
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("many"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = sizes.select("key", F.col("big.component").alias("large"), blocks(F.col("big.n")).alias("nl"), blocks(F.col("many") - F.col("big.n")).alias("nr"), (F.col("many") > BLOCK).alias("split"))
@@ -285,7 +285,7 @@ def remaining_links(reps: DataFrame, labels: DataFrame, sets: DataFrame, bands:
     come to the tasks, which confirm pairs until they have joined what is linked. What leaves a task is its
     needs and its joining links, never pairs: as many rows as it has documents at most.
     """
-    known = reps.join(labels, "id")
+    known = scratch.save(reps.join(labels, "id").select("id", "n", "component", "bands"), "known")
     rows = tasks(keys_of(known, bands))
 
     def needs(group: pa.Table) -> pa.Table:
@@ -319,6 +319,16 @@ def remaining_links(reps: DataFrame, labels: DataFrame, sets: DataFrame, bands:
     return whole.groupBy("g", "lo", "hi").applyInArrow(confirm, "a long, b long")
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that repeat an id with one set go once; those left in other batches do no harm, as no document is compared with itself."""
+    for b in batches:
+        keys = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("id", "k1", "k2")]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        yield b.select(["id", "n", "bands"]).take(pa.array(np.sort(order[new])))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id and kept.
 
@@ -333,7 +343,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     # Written first, so that nothing in the join's stage needs the rows of a key together and a very large class is split.
     classes = scratch.save(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     copies = scratch.save(full.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep"), "copies")
-    reps = scratch.save(full.join(copies.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "bands").dropDuplicates(["id"]), "reps")
+    reps = full.join(copies.filter("id = rep").select("id").distinct(), "id", "left_semi").mapInArrow(_once, "id long, n long, bands binary")
+    reps = scratch.save(reps, "reps")
     entries = reps.count() * bands.bands
     buckets = 1 << max(4, (max(entries // 2_000_000, 2 * partitions(docs.sparkSession)) - 1).bit_length())
     stars = scratch.save(star_edges(reps, buckets, bands), "stars")
@@ -343,7 +354,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     part = components(links, scratch)
     labels = scratch.save(ends.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     more = scratch.save(remaining_links(reps, labels, sets, bands, scratch), "more")
-    scratch.drop("classes", "reps", "stars", "ends", "sets", "labels", "needed")
+    scratch.drop("classes", "reps", "stars", "ends", "sets", "labels", "known", "needed")
     same = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(more).unionByName(same), scratch)
     out = rows.select("id", "n").join(final, "id", "left")
