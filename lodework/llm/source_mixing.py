@@ -4,7 +4,8 @@ DataFrame functions only. Each source gets a budget of words; whole epochs come
 rest is filled in the order of exponential keys scaled by a document's quality weight. A source
 may hold most of the corpus, so its rows are never sorted in one task: keys fall into KEY_BUCKETS
 ranges whose sums are prefix-summed (a table bounded by sources * KEY_BUCKETS), which settles
-every row but those of the one range in which the budget ends; only that range is ordered.
+every row but those of the one range in which the budget ends; only that range is ordered. Texts
+are scanned once: sizes and keys are a written table, and all later steps read its narrow columns.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ def quality_weight(text: str) -> Column:
     return F.when(F.length(text) > 0, F.greatest(letters, F.lit(0.05))).otherwise(F.lit(0.05))
 
 
-def sampling_key(key: str, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, u in (0, 1) from a hash of the key: the smallest keys are a weighted sample without replacement."""
-    digest = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, 12)
+def sampling_key(key: str, text: str, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, u in (0, 1) from a hash of the key, or of the text where there is no key: the smallest keys are a weighted sample without replacement."""
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    digest = F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 12)
     u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 48)
     return -F.log(u) / weight
 
@@ -56,18 +58,23 @@ def budgets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return w.withColumn("target", F.least("cap", F.col("weight") * F.col("level"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", weight=quality_weight) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", weight=quality_weight, with_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes, repeats counted).
 
     Each source's taken words add up to its target, rounded: the document in which the budget ends
     is taken in part. Null texts have size 0; null sources are one source, the last. Repeated
     rows count as often as they occur; rows with equal keys are ordered by the key column and size.
-    Reruns agree, however the rows are partitioned. An empty table gives an empty result.
+    Rows without a key draw by their text. Reruns agree, however the rows are partitioned. A column that has the
+    name of a result is replaced, other columns stay; without with_text the text goes. Texts are read once:
+    sizes and keys are written, with what is returned. An empty table gives an empty result.
     """
     taken_names = {"size", "source_size", "target", "taken", "__key", "__bucket", "__s"}
     docs = docs.drop(*(taken_names & set(docs.columns)))
-    sized = docs.withColumn("size", word_count(text)).withColumn("__key", sampling_key(key, weight(text), seed)).withColumn("__s", F.col(source))
+    sized = docs.withColumn("size", word_count(text)).withColumn("__key", sampling_key(key, text, weight(text), seed)).withColumn("__s", F.col(source))
     sized = sized.withColumn("__bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor(KEY_BUCKETS * (1 - F.exp(-F.col("__key"))))).cast("int"))
+    if not with_text:
+        docs, sized = docs.drop(text), sized.drop(text)
+    sized = scratch.save(sized, "sized")
     sums = scratch.save(sized.groupBy(F.col("__s").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("words")), "sums")
     targets = budgets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,7 +98,7 @@ def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs, Scratch(spark, "mix")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, Scratch(spark, "mix"), with_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -109,7 +116,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)
+         -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)
          / CASE WHEN length(text) > 0 THEN greatest(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / length(text), 0.05) ELSE 0.05 END AS k
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
