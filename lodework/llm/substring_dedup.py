@@ -50,7 +50,7 @@ def pack_documents(docs: DataFrame, key: str, text: str, pack_bytes: int) -> Dat
             ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
             data = b"".join(texts)
             n = len(W.words(np.frombuffer(data, np.uint8), np.concatenate([[0], ends]))[0])
-            row = ((part << 24) + seq, n, np.array(ids, np.int64).tobytes(), ends.tobytes(), packer.compress(data))
+            row = ((part << 32) + seq, n, np.array(ids, np.int64).tobytes(), ends.tobytes(), packer.compress(data))
             ids, texts, size, seq = [], [], 0, seq + 1
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["pack", "n_words", "ids", "ends", "texts"])
@@ -274,7 +274,8 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller
     key, all judged on the input. Null and empty texts have no words. Rows with a null key are
-    nobody's smaller document and lose nothing. Rows of one key never remove from each other.
+    nobody's smaller document and lose nothing. Rows of one key never remove from each other. Texts of any
+    length are taken whole. Other columns are dropped, whatever their names. An empty table gives an empty result.
     """
     block = block or (window + 1) // 2
     packs = scratch.save(pack_documents(docs, key, text, pack_bytes), "packs")
@@ -285,6 +286,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     # Packs without a hit in another pack can still repeat within themselves; kept_words sees to that.
     windows = extended(_collected(packs, found), window, block, bits, bits)
     again = scratch.save(repeats(windows), "repeats")
+    scratch.drop("hits")
     out = kept_words(_collected(packs, again), window, key, with_text)
     rest = docs.filter(F.col(key).isNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -227,8 +227,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     """The shards of all rows in ascending order of the key (nulls first, equal keys by text).
 
     One shuffle, of the texts, by ranges of (key, hash of the text): rows that share one key don't
-    gather in one task. Null and empty texts have the end id alone. tokenizer is a file's path
-    that every executor can read.
+    gather in one task. Null and empty texts have the end id alone; texts of any length are encoded whole.
+    Repeated rows are encoded one by one. Other columns are dropped, whatever their names. An empty table gives
+    no shards. tokenizer is a file's path that every executor can read.
     """
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")

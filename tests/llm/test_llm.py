@@ -312,6 +312,37 @@ def test_mix(spark, docs, rows, empty):
     assert source_mixing.mix(clash, Scratch(spark, "t")).count() == len(rows)
 
 
+def test_mix_without_keys(spark):
+    """A third of the rows without a key, and one key that many rows share: budgets are met, and reruns agree."""
+    r = random.Random(4)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, " ".join("w" * r.randint(1, 9) for _ in range(r.randint(0, 40))), f"s{i % 2}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(str, source_mixing.mix(table.repartition(n), Scratch(spark, "t")).collect())) for n in (1, 6))
+    assert one == two
+    got = source_mixing.mix(table, Scratch(spark, "t"), with_text=False)
+    assert "text" not in got.columns
+    for x in got.groupBy("source", "target").agg({"taken": "sum"}).collect():
+        assert abs(x["sum(taken)"] - x.target) <= 1
+
+
+@pytest.mark.parametrize("query", (token_ids, substring_dedup, minhash_dedup))
+def test_clashing_columns(spark, query):
+    """Columns that have the names of results or of steps in between change nothing."""
+    rows = [(1, "a b c d e f g " * 10), (2, "a b c d e f g " * 10), (3, None), (4, "")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = plain.selectExpr("*", *[f"doc_id as {c}" for c in ("id", "pack", "n", "bands", "key", "h", "start", "n_tokens", "component_id", "n_words", "part")])
+
+    def run(docs):
+        s = Scratch(spark, "t")
+        if query is token_ids:
+            return token_ids.read_documents(s.save(token_ids.encode_documents(docs, token_ids.default_tokenizer()), "shards"))
+        return substring_dedup.substring_dedup(docs, s) if query is substring_dedup else minhash_dedup.near_duplicates(docs, s)
+
+    assert sorted(map(str, run(clash).collect())) == sorted(map(str, run(plain).collect()))
+    if query is token_ids:
+        assert run(clash.limit(0)).count() == 0
+
+
 def test_mix_against_sql(spark, docs, rows):
     con = duckdb.connect()
     con.register("documents", __import__("pandas").DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
