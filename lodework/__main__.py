@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("path", nargs="?", default=".")
         c.add_argument("--format", choices=("text", "json"), default="text")
         c.add_argument("--config")
+        c.add_argument("--color", choices=("auto", "always", "never"), default="auto")
     made["dead-code"].add_argument("--aggressive", action="store_true")
     made["dead-code"].add_argument("--root", action="append")
     made["dead-code"].add_argument("--library", action="append")
@@ -31,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         h.add_argument(f"--max-{x}", type=int)
     h.add_argument("--exclude-tests", action="store_true")
     h.add_argument("--sort", choices=("severity", "file"), default="severity")
-    h.add_argument("--limit", type=int)
+    h.add_argument("--limit", type=int, default=0, help="places that are listed; 0 for all")
     h.add_argument("--hotspots", action="store_true")
     h.add_argument("--top", type=int, default=10)
     both = h.add_mutually_exclusive_group()
@@ -76,6 +77,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         return 2
     for w in dict.fromkeys(s.warnings):
         print(f"warning: {w}", file=sys.stderr)
+    text.use_color(a.color == "always" or (a.color == "auto" and sys.stdout.isatty() and not os.environ.get("NO_COLOR")))
     print(documents.dumps(doc) if a.format == "json" else show(doc))
     wrote = a.command == "health" and a.write_baseline
     return 0 if wrote or not check.has_findings(doc) else 1

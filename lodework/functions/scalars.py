@@ -92,20 +92,3 @@ def generated_by_path(path: Column, suffixes: tuple[str, ...] = GENERATED_SUFFIX
 def generated_by_header(content: Column, mark: bytes = b"<auto-generated", within: int = 1024) -> Column:
     """Whether the mark lies in the first bytes of binary content."""
     return F.instr(F.hex(F.substring(content, 1, within)), mark.hex().upper()) > 0
-
-
-#: Member categories in singular and plural.
-CATEGORIES = {"method": "methods", "property": "properties", "field": "fields", "event": "events"}
-
-
-def breakdown_text(counts: dict[str, Column]) -> Column:
-    """'3 methods, 1 field': categories that occur, by count and then name."""
-    parts = F.array(*[F.struct((-n).alias("k"), F.lit(c).alias("c"), n.alias("n"), F.lit(p).alias("p")) for (c, p), n in ((x, counts[x[0]]) for x in CATEGORIES.items() if x[0] in counts)])
-    known = F.array_sort(F.filter(parts, lambda x: x["n"] > 0))
-    return F.array_join(F.transform(known, lambda x: F.concat_ws(" ", x["n"].cast("string"), F.when(x["n"] == 1, x["c"]).otherwise(x["p"]))), ", ")
-
-
-def parameter_text(required: Column, optional: Column, out: Column) -> Column:
-    """Empty if all are required, else how many are declared and of which kinds."""
-    parts = F.filter(F.array(F.concat_ws(" ", required.cast("string"), F.lit("required")), F.when(optional > 0, F.concat_ws(" ", optional.cast("string"), F.lit("optional"))), F.when(out > 0, F.concat_ws(" ", out.cast("string"), F.lit("out")))), lambda x: x.isNotNull())
-    return F.when((optional == 0) & (out == 0), F.lit("")).otherwise(F.concat((required + optional + out).cast("string"), F.lit(" declared: "), F.array_join(parts, ", ")))

@@ -100,7 +100,7 @@ def run_health(s: Session, limits: dict[str, int] | None = None, exclude_tests:
     tests = [p.name for p in s.workspace.projects if p.test_framework] if options.exclude_tests else None
     doc = documents.health(s.workspace, found, int(1000 * (time.time() - began)), walked, tests)
     if write_baseline:
-        config.write_baseline(write_baseline, doc["findings"], [r["path"] + r["others"] for r in doc["cycles"]], health.KINDS)
+        config.write_baseline(write_baseline, doc["findings"], [[m["name"] for m in r["path"] + r["others"]] for r in doc["cycles"]], health.KINDS)
     return doc
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodework.functions.scalars import any_glob, breakdown_text, parameter_text, severity
+from lodework.functions.scalars import any_glob, severity
 from lodework.functions.tables import Scratch
 from lodework.lang.csharp import BIT
 from lodework.lang.extract import Facts
@@ -16,7 +16,10 @@ from lodework.plans.dead_code import Graph, Symbols, build
 from lodework.sources.workspace import Workspace
 
 #: The six kinds, in the order of reports and baselines.
-KINDS = ("high-complexity", "high-cognitive", "long-method", "too-many-parameters", "large-file", "large-type")
+KINDS = ("high-complexity", "high-cognitive-complexity", "long-method", "too-many-parameters", "large-file", "large-type")
+
+
+BREAKDOWN, PARAMETERS = "struct<methods:bigint,properties:bigint,fields:bigint,events:bigint>", "struct<required:int,optional:int,out:int>"
 
 
 @dataclass
@@ -64,13 +67,13 @@ def member_findings(facts: Facts, table: Symbols, limits: Limits, outside: DataF
     d = checks.suffixed(d, ["file_id"], "display", F.col("total"), takes)
     d = d.filter("has_body and not is_generated").join(outside, "file_id", "left_anti")
     rows = _unpivot(d, limits)
-    text = F.when(F.col("kind") == "too-many-parameters", parameter_text(F.col("required"), F.col("optional"), F.col("out")))
-    return rows.select("kind", F.col("display").alias("name"), F.col("symbol_kind"), "project", F.col("path").alias("file"), "line", "col", "metric", "threshold", "severity", F.lit(None).cast("string").alias("breakdown"), F.nullif(text, F.lit("")).alias("parameters"))
+    parameters = F.when(F.col("kind") == "too-many-parameters", F.struct("required", "optional", "out")).cast(PARAMETERS)
+    return rows.select("kind", F.col("display").alias("name"), F.col("symbol_kind"), "project", F.col("path").alias("file"), "line", "col", "metric", "threshold", "severity", F.lit(None).cast(BREAKDOWN).alias("breakdown"), parameters.alias("parameters"))
 
 
 def _unpivot(d: DataFrame, limits: Limits) -> DataFrame:
     d = d.withColumnRenamed("kind", "symbol_kind")
-    metrics = {"high-complexity": (F.col("cyclomatic"), limits.complexity), "high-cognitive": (F.col("cognitive"), limits.cognitive), "long-method": (F.col("body_lines"), limits.method_lines), "too-many-parameters": (F.col("required"), limits.parameters)}
+    metrics = {"high-complexity": (F.col("cyclomatic"), limits.complexity), "high-cognitive-complexity": (F.col("cognitive"), limits.cognitive), "long-method": (F.col("body_lines"), limits.method_lines), "too-many-parameters": (F.col("required"), limits.parameters)}
     return checks.tripped(d, ["path", "project", "line", "col", "display", "symbol_kind", "required", "optional", "out"], metrics)
 
 
@@ -78,7 +81,7 @@ def file_findings(facts: Facts, limits: Limits, root: str, outside: DataFrame) -
     f = facts.files.filter("not is_generated").join(outside, "file_id", "left_anti")
     rows = checks.tripped(f, ["path", "project"], {"large-file": (F.col("line_count"), limits.file_lines)})
     none = F.lit(None).cast("string")
-    return rows.select("kind", _relative("path", root).alias("name"), none.alias("symbol_kind"), "project", F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("col"), "metric", "threshold", "severity", none.alias("breakdown"), none.alias("parameters"))
+    return rows.select("kind", _relative("path", root).alias("name"), none.alias("symbol_kind"), "project", F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("col"), "metric", "threshold", "severity", F.lit(None).cast(BREAKDOWN).alias("breakdown"), F.lit(None).cast(PARAMETERS).alias("parameters"))
 
 
 def type_findings(table: Symbols, limits: Limits, outside: DataFrame) -> DataFrame:
@@ -86,9 +89,9 @@ def type_findings(table: Symbols, limits: Limits, outside: DataFrame) -> DataFra
     members = s.filter("not is_type and not is_generated").select("parent_key", "kind", "modifiers")
     counts = checks.breakdown(members, ["parent_key"], _member_category(), ["method", "property", "field", "event"], limits.type_members)
     t = s.filter("is_type and not is_generated").join(outside, "file_id", "left_anti").join(counts.withColumnRenamed("parent_key", "key"), "key")
-    text = breakdown_text({c: F.col(f"n_{c}") for c in ("method", "property", "field", "event")})
+    parts = F.struct(*[F.col(f"n_{one}").alias(many) for one, many in (("method", "methods"), ("property", "properties"), ("field", "fields"), ("event", "events"))]).cast(BREAKDOWN)
     limit = F.lit(limits.type_members).cast("long")
-    return t.select(F.lit("large-type").alias("kind"), F.col("display").alias("name"), F.col("kind").alias("symbol_kind"), "project", F.col("path").alias("file"), "line", "col", F.col("total").cast("long").alias("metric"), limit.alias("threshold"), severity(F.col("total"), limit).alias("severity"), text.alias("breakdown"), F.lit(None).cast("string").alias("parameters"))
+    return t.select(F.lit("large-type").alias("kind"), F.col("display").alias("name"), F.col("kind").alias("symbol_kind"), "project", F.col("path").alias("file"), "line", "col", F.col("total").cast("long").alias("metric"), limit.alias("threshold"), severity(F.col("total"), limit).alias("severity"), parts.alias("breakdown"), F.lit(None).cast(PARAMETERS).alias("parameters"))
 
 
 def _relative(column: str, root: str):
@@ -96,11 +99,11 @@ def _relative(column: str, root: str):
 
 
 def cycles(table: Symbols, edges: DataFrame, outside: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, others, files): shortest cycles between types, in the order of their anchors; none that touches generated or left-out code."""
+    """(path, others, files; members with name, project, file, line and column): shortest cycles between types, in the order of their anchors; none that touches generated or left-out code."""
     s = table.symbols
     owner = s.select("key", F.when(F.col("is_type"), F.col("key")).otherwise(F.col("parent_key")).alias("owner")).filter("owner like 'T:%'")
     between = edges.join(owner.select(F.col("key").alias("src"), F.col("owner").alias("a")), "src").join(owner.select(F.col("key").alias("dst"), F.col("owner").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
-    ids = symbols.dense_ids(s.filter("is_type").select("key", "display", "path", "file_id", "is_generated", "ord"), scratch, "ord", "id")
+    ids = symbols.dense_ids(s.filter("is_type").select("key", "display", "project", "path", "line", "col", "file_id", "is_generated", "ord"), scratch, "ord", "id")
     ids = scratch.save(ids, "type-ids")
     e = between.join(ids.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
     e = scratch.save(e, "type-edges")
@@ -109,9 +112,11 @@ def cycles(table: Symbols, edges: DataFrame, outside: DataFrame, scratch: Scratc
     found = scratch.save(found.join(off, "component", "left_anti"), "scc-kept")
     short = graph.shortest_cycles(e, found, scratch)
     spread = short.select("component", F.posexplode("path").alias("pos", "id"), F.lit(True).alias("on")).unionByName(short.select("component", F.posexplode("others").alias("pos", "id"), F.lit(False).alias("on")))
-    named = spread.join(ids.select("id", "display", "path"), "id").groupBy("component").agg(F.array_sort(F.collect_list(F.when(F.col("on"), F.struct("pos", "display", "path")))).alias("p"), F.array_sort(F.collect_list(F.when(~F.col("on"), F.struct("pos", "display", "path")))).alias("o"))
-    files = F.transform(F.concat("p", "o"), lambda x: x["path"])
-    return named.select("component", F.transform("p", lambda x: x["display"]).alias("path"), F.transform("o", lambda x: x["display"]).alias("others"), files.alias("files"))
+    member = F.struct("pos", F.col("display").alias("name"), "project", F.col("path").alias("file"), "line", F.col("col").alias("column"))
+    named = spread.join(ids.select("id", "display", "project", "path", "line", "col"), "id").groupBy("component").agg(F.array_sort(F.collect_list(F.when(F.col("on"), member))).alias("p"), F.array_sort(F.collect_list(F.when(~F.col("on"), member))).alias("o"))
+    files = F.transform(F.concat("p", "o"), lambda x: x["file"])
+    shown = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["project"].alias("project"), x["file"].alias("file"), x["line"].alias("line"), x["column"].alias("column")))
+    return named.select("component", shown("p").alias("path"), shown("o").alias("others"), files.alias("files"))
 
 
 def hot_files(facts: Facts, commits: DataFrame, root: str, globs: list[str], outside: DataFrame, top: int, now: int) -> DataFrame:
@@ -145,7 +150,7 @@ def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Option
         stale = [(r["kind"], r["name"]) for r in findings.stale_records(recorded, found).select("kind", "name").collect()]
         keys = ["\n".join(sorted(m)) for m in known]
         if keys:
-            rings = rings.filter(~findings.cycle_key(F.concat("path", "others")).isin(keys))
+            rings = rings.filter(~findings.cycle_key(F.transform(F.concat("path", "others"), lambda m: m["name"])).isin(keys))
         found = over
         baselined = before - found.count() - rings.count()
     hot = None
@@ -155,5 +160,5 @@ def health(workspace: Workspace, facts: Facts, scratch: Scratch, options: Option
     counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
     kept = facts.files.filter("not generated_path").join(outside, "file_id", "left_anti").withColumn("rel", _relative("path", workspace.root))
     row = kept.agg(F.count_if(any_glob(F.col("rel"), globs)).alias("i"), F.count("*").alias("n")).first()
-    counts |= {"projects": len(workspace.projects) - len(tests), "files": row["n"] - row["i"], "ignored_files": row["i"], "cycles": rings.count()}
-    return Health(found.orderBy(F.split("file", "/"), "line", "col", "kind"), rings.orderBy("component"), hot, counts, baselined, stale)
+    counts |= {"projects": len(workspace.projects) - len(tests), "files": row["n"] - row["i"], "ignored_files": row["i"], "cycles": rings.count(), "symbols": table.symbols.count() + facts.files.count()}
+    return Health(found.orderBy(F.split("file", "/"), "line", "col", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "name"), rings.orderBy("component"), hot, counts, baselined, stale)

@@ -51,17 +51,18 @@ def dupes(workspace: Workspace, result: Dupes, mode: str, elapsed_ms: int) -> di
 
 def health(workspace: Workspace, result: Health, elapsed_ms: int, commits_walked: int | None = None, excluded_tests: list[str] | None = None) -> dict:
     rows = [
-        _no_nulls({"kind": r["kind"], "symbolKind": r["symbol_kind"], "name": r["name"], "project": _project(workspace, r["project"]), "file": _relative(workspace, r["file"]), "line": r["line"], "column": r["col"], "metric": r["metric"], "threshold": r["threshold"], "breakdown": r["breakdown"], "parameters": r["parameters"]})
+        _no_nulls({"kind": r["kind"], "name": r["name"], "project": _project(workspace, r["project"]), "file": _relative(workspace, r["file"]), "line": r["line"], "column": r["col"], "metric": r["metric"], "threshold": r["threshold"], "breakdown": r["breakdown"] and r["breakdown"].asDict(), "parameters": r["parameters"] and r["parameters"].asDict()})
         for r in result.findings.toLocalIterator()
     ]
     hot = [] if result.hotspots is None else [_no_nulls({"file": h["path"], "project": _project(workspace, h["project"]), "score": rounded(h["score"], 1), "weightedCommits": rounded(h["weight"], 2), "cyclomatic": h["cyclomatic"], "lines": h["line_count"], "complexityDensity": rounded(h["density"], 4)}) for h in result.hotspots.toLocalIterator()]
     c = result.counts
-    kinds = {"highComplexity": "high-complexity", "highCognitive": "high-cognitive", "longMethods": "long-method", "tooManyParameters": "too-many-parameters", "largeFiles": "large-file", "largeTypes": "large-type"}
-    summary = {"projects": c["projects"], "filesScanned": c["files"]} | {k: c.get(v, 0) for k, v in kinds.items()} | {"circularDependencies": c["cycles"]}
+    kinds = {"highComplexity": "high-complexity", "highCognitiveComplexity": "high-cognitive-complexity", "longMethods": "long-method", "tooManyParameters": "too-many-parameters", "largeFiles": "large-file", "largeTypes": "large-type"}
+    summary = {"projects": c["projects"], "filesScanned": c["files"], "symbols": c["symbols"]} | {k: c.get(v, 0) for k, v in kinds.items()} | {"circularDependencies": c["cycles"]}
     summary |= _no_nulls({"commitsWalked": commits_walked, "baselined": result.baselined, "elapsedMs": elapsed_ms})
     if excluded_tests or c["ignored_files"]:
         summary["excluded"] = {"testProjects": excluded_tests or [], "ignoredFiles": c["ignored_files"]}
-    cycles = [{"path": r["path"], "others": r["others"]} for r in result.cycles.toLocalIterator()]
+    member = lambda m: _no_nulls({"name": m["name"], "project": _project(workspace, m["project"]), "file": _relative(workspace, m["file"]), "line": m["line"], "column": m["column"]})
+    cycles = [{k: [member(m) for m in r[k]] for k in ("path", "others")} for r in result.cycles.toLocalIterator()]
     return {"version": VERSION, "root": workspace.root, "summary": summary, "findings": rows, "cycles": cycles, "hotspots": hot}
 
 

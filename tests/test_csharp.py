@@ -139,8 +139,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert doc["summary"]["groups"] == 1 and [o["startLine"] for o in doc["groups"][0]["occurrences"]] == [4, 4]
     saved = str(tmp_path / "baseline.json")
     assert main(["health", str(tmp_path), "--write-baseline", saved], spark) == 0
-    assert {f["kind"] for f in json.loads(open(saved).read())["findings"]} == {"high-complexity", "high-cognitive"} and json.loads(open(saved).read())["cycles"] == [{"members": ["N.Alpha", "N.Beta"]}]
+    assert {f["kind"] for f in json.loads(open(saved).read())["findings"]} == {"high-complexity", "high-cognitive-complexity"} and json.loads(open(saved).read())["cycles"] == [{"members": ["N.Alpha", "N.Beta"]}]
     capsys.readouterr()
     assert main(["health", str(tmp_path), "--baseline", saved, "--format", "json"], spark) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["baselined"] == 5
     assert main(["nonsense"], spark) == 2 and main(["health", str(tmp_path / "none")], spark) == 2
+
+
+def test_texts_of_reports(spark, tmp_path, capsys):
+    """Headlines, bands, groups and what was left out, without and with styles."""
+    from lodework.report import text
+
+    branches = "\n".join(f"if (a{i}) {{ }}" for i in range(24))
+    write(tmp_path, {
+        "One/One.csproj": '<Project Sdk="Microsoft.NET.Sdk"/>', "Tests/Tests.csproj": '<Project Sdk="Microsoft.NET.Sdk"><ItemGroup><PackageReference Include="nunit"/></ItemGroup></Project>',
+        "One/A.cs": f"namespace N;\npublic class Ring {{ Link l;\npublic void Mild(int a, int b, int c, int d, int e, int f, int g = 1) {{ }}\npublic void Wild()\n{{\n{branches}\n}}\n}}",
+        "One/B.cs": "namespace N;\npublic class Link { Ring r; Chain c; }\npublic class Chain { Link l; }", "Tests/T.cs": "class T { }",
+    })
+    assert main(["health", str(tmp_path), "--exclude-tests", "--color", "never"], spark) == 1
+    out = capsys.readouterr().out.split("\n")
+    assert out[0] == "One/A.cs (One)" and out[1].endswith("N.Ring.Wild/0") or out[1].endswith("N.Ring.Wild")
+    assert "cyclomatic 25/10 · cognitive 24/15" in out[2] and any("6/5 params (7 declared: 6 required, 1 optional)" in x for x in out)
+    assert "  N.Ring → N.Link → N.Ring" in out and "    One/A.cs 2:14" in out and any("+ 1 more type in this cycle: N.Chain" in x for x in out)
+    assert any(x.startswith("found 4 issues in 2 places of 1 file; 1 project, 2 files") for x in out) and any("excluded: 1 test project (Tests)" in x for x in out)
+    assert main(["health", str(tmp_path), "--limit", "1", "--color", "always", "--format", "text"], spark) == 1
+    styled = capsys.readouterr().out
+    assert "\x1b[31;1mcyclomatic 25/10\x1b[0m" in styled and "\x1b[33mcognitive 24/15\x1b[0m" in styled and "… and 1 more" in styled
+    text.use_color(False)
+    assert main(["health", str(tmp_path), "--format", "json"], spark) == 1
+    doc = json.loads(capsys.readouterr().out)
+    assert [f["parameters"] for f in doc["findings"] if "parameters" in f] == [{"required": 6, "optional": 1, "out": 0}] and "symbols" in doc["summary"]
+    assert doc["cycles"][0]["path"][0] == {"name": "N.Ring", "project": "One", "file": "One/A.cs", "line": 2, "column": 14}
+    assert text.breakdown_text({"methods": 1, "properties": 3, "fields": 0, "events": 1}) == "3 properties, 1 event, 1 method"
+    hot = {"summary": {"projects": 1, "filesScanned": 1, "elapsedMs": 1, "commitsWalked": 2}, "findings": [], "cycles": [], "hotspots": [{"file": "a", "score": 61.0, "weightedCommits": 1.5, "cyclomatic": 3, "lines": 1}]}
+    assert text.health(hot).split("\n")[-1] == "     61  a  complexity 3 in 1 line, 1.5 weighted commits"
