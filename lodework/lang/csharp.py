@@ -942,6 +942,8 @@ class Parser:
                     self.i += 1
                 elif x == "with" and self.text(1) == "{":
                     self.i += 1
+                elif self.text(-1) in ("(", ",") and self.designation():
+                    pass
                 else:
                     self.name(self.text(-1) == "." or (self.text(-1) == "->"))
             elif kind == "keyword":
@@ -1004,6 +1006,16 @@ class Parser:
                 self.i += 1
         flush()
 
+    def designation(self) -> bool:
+        """A type and the name that it declares inside a tuple, as in (Box b, var c) = ...; false, and nothing consumed, if there is none."""
+        start, n = self.i, len(self.refs)
+        if self.type_() and self.kind() == "identifier" and self.text(1) in (",", ")") and self.text() not in ("is", "as", "when", "and", "or"):
+            self.i += 1
+            return True
+        self.i = start
+        del self.refs[n:]
+        return False
+
     def type_no_nullable(self) -> None:
         """A type after `is`, where a ? begins a conditional if a colon follows."""
         self.type_()

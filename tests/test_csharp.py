@@ -173,3 +173,34 @@ def test_texts_of_reports(spark, tmp_path, capsys):
     assert text.breakdown_text({"methods": 1, "properties": 3, "fields": 0, "events": 1}) == "3 properties, 1 event, 1 method"
     hot = {"summary": {"projects": 1, "filesScanned": 1, "elapsedMs": 1, "commitsWalked": 2}, "findings": [], "cycles": [], "hotspots": [{"file": "a", "score": 61.0, "weightedCommits": 1.5, "cyclomatic": 3, "lines": 1}]}
     assert text.health(hot).split("\n")[-1] == "     61  a  complexity 3 in 1 line, 1.5 weighted commits"
+
+
+def test_rules_of_liveness(spark, tmp_path):
+    """What lives without being named: rules of kinds, interfaces, attributes, frameworks and registrations, and what they don't cover."""
+    source = """using System;
+static class Program { static void Main() { var t = new Tools(); t.Use(); Registry.Add<ITask>(); IRun r = t; r.Go(); "a".Twice(); Later later; } }
+class Tools : IOutside, IRun {
+  public Tools() { } public void Use() { } public void Go() { } public void External() { } public static void Stat() { } void Hidden() { }
+  public void Deconstruct(out int a) { a = 1; } public override string ToString() => ""; public int this[int i] => i; ~Tools() { } void IRun.Go() { }
+}
+interface IRun { void Go(); }
+interface ITask { }
+class Job : ITask { void Work() { } }
+abstract class Template : ITask { }
+static class Registry { public static void Add<T>() { } }
+class Marked { [Inject] void Set() { } [Obsolete] void Gone() { } }
+class HomeController { public void Index() { } void Help() { } }
+class Startup { public void Configure() { } void Other() { } }
+enum Kind { One, Two }
+class Ghost { public void Use() { } }
+static class Ext { public static string Twice(this string s) => s; public static string Thrice(this string s) => s; }
+partial class Half { partial void Half1(); }
+class Later { public int Auto { get; set; } internal int Inner { get; set; } public int Computed { get { return 1; } } }
+"""
+    write(tmp_path, {"App/App.csproj": EXE, "App/All.cs": source})
+    got, result = dead(spark, tmp_path)
+    members = {"Tools.Stat", "Tools.Hidden", "Job.Work", "Marked.Gone", "HomeController.Help", "Startup.Other", "Ext.Thrice", "Later.Inner", "Later.Computed"}
+    assert got == {("unused-member", m) for m in members} | {("unused-type", t) for t in ("Kind", "Ghost", "Template")}
+    more = dead(spark, tmp_path, aggressive=True)[0] - got
+    assert more == {("unused-member", "Later.Auto")}
+    assert result.counts["unused-type"] == 3 and result.counts["unused-member"] == len(members) and not result.notes
