@@ -41,7 +41,7 @@ def with_columns(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], begi
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def chosen(rows: DataFrame, group: str, key: str, most: int, seed: str, most_groups: int = 500) -> tuple[DataFrame, dict]:
+def chosen(rows: DataFrame, group: str, key: str, most: int, seed: str, most_groups: int = 100) -> tuple[DataFrame, dict]:
     """Rows whose key's hash is small enough that about 1.2 * `most` of each group are left (all of a small one), with that hash as __u; and the count of rows of each group.
 
     Counting reads nothing but the group. Of more than most_groups groups the most frequent are

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodework.llm.common import Scratch, bounded_sample, chosen, with_columns
 
 #: Bounds of what is fitted on: texts a language, bytes of them, and characters of each language's dictionary, which is cut from them.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_CHARS = 600, 16 << 20, 100_000
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_CHARS = 600, 4 << 20, 100_000
 #: zstandard's level, for texts of every length.
 LEVEL = 12
 #: Narrower than this (bytes saved over the second best, as a share of the best) is not accepted.
