@@ -37,7 +37,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: A lexicon feature occurs in so many toxic documents at least, at e^MIN_LIFT times the clean ones' rate.
 MIN_DOCS, MIN_LIFT = 5, 2.5
-WINDOW, EPOCHS, RATE, RIDGE = 8, 60, 0.15, 2e-4
+WINDOW, EPOCHS, RATE, RIDGE = 8, 30, 0.2, 2e-4
 #: Features that occur in fewer tokens of the training windows have no weight.
 MIN_TOKENS = 3
 #: Marginals under this are not added up; a text counts this many tokens more when density is taken.
@@ -126,6 +126,7 @@ class ToxicityModel:
     change: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
     _memo: dict = field(default_factory=dict, repr=False)
+    _tables: tuple | None = field(default=None, repr=False)
     _lifts: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3)), repr=False)
     _hashes: np.ndarray = field(default_factory=lambda: np.zeros(1024, np.uint64), repr=False)
 
@@ -136,12 +137,40 @@ class ToxicityModel:
         if len(memo) + len(words) > len(self._lifts):
             more = max(len(self._lifts), len(words))
             self._lifts, self._hashes = np.concatenate([self._lifts, np.zeros((more, 3))]), np.concatenate([self._hashes, np.zeros(more, np.uint64)])
-        get = self.weights.get
-        for w in words:
-            if w not in memo:
-                self._lifts[len(memo)] = [sum(get(f, 0.0) for f in fs) for fs in features(w)]
-                self._hashes[len(memo)] = word_hash(w)
-                memo[w] = len(memo)
+        if self._tables is None:
+            self._tables = self._by_kind()
+        word, start, end, shape, length, *sides = self._tables
+        for raw in words:
+            if raw in memo:
+                continue
+            w = raw.lower()
+            n = len(w)
+            own = word.get(w, 0.0) + end.get(w[-3:], 0.0) + shape[0 if n > 1 and raw.isupper() else 1 if raw[0].isupper() else 2] + length[min(n, 12)]
+            for k in BEGINNINGS:
+                if k >= n:
+                    break
+                own += start.get(w[:k], 0.0)
+            head = w[:4]
+            self._lifts[len(memo)] = own, sides[0].get(w, 0.0) + sides[1].get(head, 0.0), sides[2].get(w, 0.0) + sides[3].get(head, 0.0)
+            self._hashes[len(memo)] = word_hash(raw)
+            memo[raw] = len(memo)
+
+    def _by_kind(self) -> tuple:
+        """The weights by kind of feature, so that those of a word are looked up without writing their names."""
+        word, start, end, shape, length, sides = {}, {}, {}, [0.0] * 3, [0.0] * 13, [{}, {}, {}, {}]
+        for f, x in self.weights.items():
+            name, _, value = f.rpartition("=")
+            if name in ("before", "after"):
+                sides[2 * (name == "after") + value.endswith("*")][value.removesuffix("*")] = x
+            elif name == "end":
+                end[value] = x
+            elif name == "shape":
+                shape[("upper", "title", "lower").index(value)] = x
+            elif name == "length":
+                length[int(value)] = x
+            else:
+                (start if f.endswith("*") else word)[f.removesuffix("*")] = x
+        return word, start, end, shape, length, *sides
 
     def unary(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Weights of state 1 of all tokens of the texts, one after the other, and where each text with tokens begins."""

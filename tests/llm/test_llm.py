@@ -568,6 +568,11 @@ def test_unary_weights_of_tokens():
     unary, begins = m.unary([["ok", "BAD", "x"], [], ["x", "mean"], ["BAD"]])
     assert begins.tolist() == [0, 3, 5]
     assert np.allclose(unary + 1.5, [0, 4 + 1 + 2, 0.5, 0.25, 3.125, 5])
+    r, words = random.Random(3), ["a", "A", "Mean", "MEANEST", "évidente", "x" * 15, "Straße", "badly", "bad"]
+    m = toxicity.ToxicityModel({f: r.random() for w in words for fs in toxicity.features(w) for f in fs}, bias=0.0)
+    for w in words:
+        assert np.allclose(m.unary([[w]])[0], sum(m.weights[f] for f in toxicity.features(w)[0]))
+        assert np.allclose(m.unary([["q", w, "q"]])[0][[0, 2]] - m.unary([["q"]])[0], [sum(m.weights[f] for f in toxicity.features(w)[2]), sum(m.weights[f] for f in toxicity.features(w)[1])])
 
 
 def test_chain_learns_context():
