@@ -236,8 +236,8 @@ def tasks(rows: DataFrame) -> DataFrame:
     return rows.select(g.alias("g"), F.inline(who), "key", "band", "id")
 
 
-def _candidates(group: pa.Table, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a task, in parts, that differ in component, share a key under the first band that both have, and are similar enough by size and signature.
+def _candidates(group: pa.Table, bands: Bands, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a task, in parts, that differ in component (of, which may change between the parts), share a key under the first band that both have, and are similar enough by size and signature.
 
     The signatures must agree nearly as often as the similarity makes them (4.5 standard deviations below;
     3 pairs in a million are missed at the limit, none in practice above).
@@ -245,7 +245,7 @@ def _candidates(group: pa.Table, bands: Bands) -> Iterator[tuple[np.ndarray, np.
     total, s = bands.rows * bands.bands, bands.percent / 100
     chance = s + (1 - s) / 256
     least = total * chance - 4.5 * (total * chance * (1 - chance)) ** 0.5
-    key, ids, of, n, band, side = (group.column(c).to_numpy() for c in ("key", "id", "component", "n", "band", "side"))
+    key, ids, n, band, side = (group.column(c).to_numpy() for c in ("key", "id", "n", "band", "side"))
     sig = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, bands.bands)
     order = np.argsort(key, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
@@ -290,7 +290,7 @@ def remaining_links(reps: DataFrame, labels: DataFrame, sets: DataFrame, bands:
 
     def needs(group: pa.Table) -> pa.Table:
         wanted = np.zeros(group.num_rows, bool)
-        for a, b in _candidates(group, bands):
+        for a, b in _candidates(group, bands, group.column("component").to_numpy()):
             wanted[a] = wanted[b] = True
         return group.select(["g", "lo", "hi", "side", "key", "band", "id"]).filter(pa.array(wanted))
 
@@ -299,19 +299,12 @@ def remaining_links(reps: DataFrame, labels: DataFrame, sets: DataFrame, bands:
     needed = scratch.save(with_signature.groupBy("g", "lo", "hi").applyInArrow(needs, schema), "needed")
 
     def confirm(group: pa.Table) -> pa.Table:
-        ids, of = group.column("id").to_numpy(), group.column("component").to_pylist()
-        full, root, out = group.column("set"), {}, []
-
-        def find(c):
-            while c in root:
-                c = root[c]
-            return c
-
-        for a, b in _candidates(group, bands):
+        ids, of = group.column("id").to_numpy(), np.array(group.column("component").to_numpy())
+        full, out = group.column("set"), []
+        for a, b in _candidates(group, bands, of):
             for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                x, y = find(of[p]), find(of[q])
-                if x != y and similar(np.frombuffer(full[p].as_py(), np.uint64), np.frombuffer(full[q].as_py(), np.uint64), bands.percent):
-                    root[max(x, y)] = min(x, y)
+                if of[p] != of[q] and similar(np.frombuffer(full[p].as_py(), np.uint64), np.frombuffer(full[q].as_py(), np.uint64), bands.percent):
+                    of[of == max(of[p], of[q])] = min(of[p], of[q])  # joined here: later pairs between them need no look
                     out.append((int(ids[p]), int(ids[q])))
         return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
