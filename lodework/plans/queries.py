@@ -352,9 +352,8 @@ def q22(spark, d):
 @query("q23_cover")
 def q23(spark, d):
     s = Scratch(spark, "cover")
-    found = repeats.maximal_repeats(_sequences(spark, d), "doc_id", 50, s)
-    groups = s.save(found.withColumn("group", F.xxhash64("length", _occurrence_text("occurrences"))), "groups")
-    kept = repeats.uncovered(repeats.ranked(repeats.snapped(groups, _lines(spark, d), "doc_id", 50, 1)), s)
+    found = repeats.snapped_repeats(_sequences(spark, d), _lines(spark, d), "doc_id", 50, s, 2, 50, 1)
+    kept = repeats.uncovered(repeats.ranked(found), s)
     return kept.select("n_tokens", "n_lines", "impact", _occurrence_text("occurrences").alias("occurrences"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,54 @@ def test_cover(spark, scratch, seed):
     assert pipeline(spark, scratch, seqs, k, least_lines, 2, lines) == brute_cover(seqs, lines, k, least_lines)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_snapped_repeats(spark, scratch, seed):
+    """Cut where they are found, repeats give the same groups as cut afterwards, and the same cover as by definition."""
+    r = random.Random(seed)
+    seqs, lines = [], []
+    for _ in range(5):
+        x = [r.choice("pq") for _ in range(r.randint(4, 16))]
+        seqs.append(["p"] * 9 + x + (seqs[0][2:13] if seqs and r.random() < 0.7 else []))
+        lines.append(sorted(r.randint(1, 9) for _ in seqs[-1]))
+    k, least_lines = r.choice((2, 3)), r.choice((1, 2))
+    t = spark.createDataFrame([(s, p, lines[s][p], str(x)) for s, seq in enumerate(seqs) for p, x in enumerate(seq)], "id int, pos int, line int, token string")
+    tokens, marks = repeats.token_sequences(t, "id"), repeats.token_lines(t, "id")
+    whole = scratch.save(repeats.maximal_repeats(tokens, "id", k, scratch).withColumn("group", F.xxhash64("length", F.col("occurrences").cast("string"))))
+    found = scratch.save(repeats.snapped_repeats(tokens, marks, "id", k, scratch, 2, k, least_lines))
+    columns = ["n_tokens", "n_lines", "occurrences"]
+    got = sorted(map(str, found.select(columns).collect()))
+    assert got and got == sorted(map(str, repeats.snapped(whole, marks, "id", k, least_lines).select(columns).collect()))
+    assert found.select("group").distinct().count() == len(got)
+    kept = repeats.uncovered(repeats.ranked(found), scratch).collect()
+    assert sorted((x.impact, x.n_tokens, [(o.id, o.pos) for o in x.occurrences]) for x in kept) == brute_cover(seqs, lines, k, least_lines)
+
+
+def test_a_text_that_repeats_itself(spark, scratch):
+    """A task gets a stretch of repeated k-grams once for a k-gram, however often this is found there."""
+    n = 1500
+    docs = spark.createDataFrame([(i, "a " * n + f"b{i}") for i in range(3)], "id int, text string")
+    rows = repeats._families(repeats.text_sequences(docs, "id", "text"), "id", 50, scratch, 2).selectExpr("octet_length(chain) c", "size(start) s").collect()
+    assert [(x.c, x.s) for x in rows] == [(8 * (n - 49), n - 49)] * 3
+    found = repeats.maximal_repeats(repeats.text_sequences(docs, "id", "text"), "id", 50, scratch).collect()
+    assert sorted((x.length, len(x.occurrences)) for x in found) == [(m, 3 * (n - m + 1)) for m in range(50, n + 1)]
+
+
+def test_suffixes_in_order(monkeypatch):
+    """Cut out or ranked, suffixes share the same with their neighbours."""
+    r = random.Random(8)
+    for _ in range(20):
+        chains = [b"".join(r.choice("ab").encode() * 8 for _ in range(r.choice((1, 3, 40)))) for _ in range(r.randint(1, 6))]
+        at = [(c, o) for c, x in enumerate(chains) for o in range(len(x) // 8) if r.random() < 0.7] or [(0, 0)]
+        of, off = np.array(at, np.int64).T
+        texts = [chains[c][8 * o :] for c, o in at]
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(repeats, "CUT_BYTES", most)
+            order, shared = repeats.suffixes_in_order(chains, of, off)
+            got = [texts[i] for i in order]
+            assert got == sorted(texts)
+            assert shared.tolist() == [0] + [next((i for i in range(min(len(x), len(y)) // 8) if x[8 * i] != y[8 * i]), min(len(x), len(y)) // 8) for x, y in zip(got, got[1:])]
+
+
 def test_lines_and_sequences_of_texts(spark):
     """Texts and tables of their tokens give the same lines, k-grams and repeats."""
     texts = ["a b\n\nc a b c\n a b", None, "", "\n\n", "x a b\n c a b\x0bc a", "é a b\tc\r\na b"]
