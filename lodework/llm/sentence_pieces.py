@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lodework.llm.common import with_columns
 
 SPACE = "▁"
-#: Words, pairs of neighbouring pieces, and beginnings of words that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS = 500_000, 150_000, 200_000
+#: Bytes of the words and of the beginnings of words that a worker remembers, with ENTRY for a place in a dict, and pairs of neighbouring pieces.
+CACHE_WORDS, CACHE_HEADS, CACHE_PAIRS = 96_000_000, 48_000_000, 150_000
+ENTRY = 80
+#: The share of them in a stage of a pipeline, where each of an executor's workers keeps them beside what other stages have left.
+STAGE_CACHE = 0.25
 #: Lengths of beginnings of words whose part of the lattice is remembered, as many words share them.
 HEADS = (10, 8, 6, 4)
 UNIGRAM, BPE = 1, 2
@@ -73,7 +77,7 @@ class Pieces:
     """A model's vocabulary; encode() and decode() of whole texts."""
 
     def __init__(self, path: str | None = None, proto: bytes | None = None, cache: float = 1.0):
-        """cache: times the usual sizes of the caches, which take about 200 MB in all."""
+        """cache: times the usual sizes of the caches, which are CACHE_WORDS and CACHE_HEADS bytes and what CACHE_PAIRS take."""
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto) if proto else sentencepiece.SentencePieceProcessor(model_file=path)
@@ -83,6 +87,7 @@ class Pieces:
         names = [self.lib.id_to_piece(i) for i in range(n)]
         self.kind = _model_type(self.lib.serialized_model_proto())
         self.id = {p: i for i, p in enumerate(names) if not special[i] and not byte[i]}
+        self.own = {p: p for p in self.id}  # caches hold these strings, never copies of them
         self.score = {p: self.lib.get_score(i) for p, i in self.id.items()}
         self.byte_id = {int(names[i][3:5], 16): i for i in range(n) if byte[i]}
         self.unknown_id = self.lib.unk_id()
@@ -92,7 +97,8 @@ class Pieces:
         self.starts_with_blank = self.lib.normalize("a").startswith(SPACE)
         #: Where no piece has a blank after another character, a blank after one is a boundary of every path.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not any(SPACE in p.lstrip(SPACE) for p in self.id) else lambda t: [t]
-        self.most_words, self.most_pairs, self.most_heads = (int(cache * n) for n in (CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS))
+        self.most_words, self.most_heads, self.most_pairs = (int(cache * n) for n in (CACHE_WORDS, CACHE_HEADS, CACHE_PAIRS))
+        self.word_bytes = self.head_bytes = 0
         self.words, self.older, self.pairs, self.spines, self.whole, self.heads = {}, {}, {}, {}, {}, {}
         #: Lengths of the pieces that end in two given characters, the longest first; shorter ones are tried always.
         ends: dict[str, set[int]] = {}
@@ -182,6 +188,16 @@ class Pieces:
             known = self.whole[piece] = len(self.merged(piece)) == 1
         return known
 
+    def _remember(self, word: str, ids: bytes) -> None:
+        """Two generations of at most half of the bytes each: words in use outlive a change."""
+        if len(word) > 64:
+            return
+        size = getsizeof(word) + getsizeof(ids) + ENTRY
+        if self.word_bytes + size > self.most_words // 2:
+            self.words, self.older, self.word_bytes = {}, self.words, 0
+        self.words[word] = ids
+        self.word_bytes += size
+
     def _word(self, word: str) -> bytes:
         if word[1:].isalpha():
             return self.lattice.whole(word)
@@ -192,8 +208,8 @@ class Pieces:
                 ids = self.words.get(part) or self.older.get(part)
                 if ids is None:
                     ids = self.lattice.whole(part)
-                if len(part) <= 64:
-                    self.words[part] = ids
+                if part not in self.words:
+                    self._remember(part, ids)
                 out.append(ids)
                 begin = i
         return b"".join(out)
@@ -204,8 +220,6 @@ class Pieces:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers. Between boundaries that every path shares, words come from the cache."""
-        if len(self.words) > self.most_words // 2:  # two generations: words in use outlive a change
-            self.words, self.older = {}, self.words
         words = self.cut(self.normalize(text))
         got = list(map(self.words.get, words))
         at = -1
@@ -213,8 +227,8 @@ class Pieces:
             at = got.index(None, at + 1)
             word = words[at]
             got[at] = ids = self.words.get(word) or self.older.get(word) or self._word(word)
-            if len(word) <= 64:
-                self.words[word] = ids
+            if word not in self.words:
+                self._remember(word, ids)
         return b"".join(got)
 
     def encode(self, text: str) -> list[int]:
@@ -248,7 +262,7 @@ class Lattice:
     def _merges(self) -> None:
         """The last piece of each prefix: the merges of a prefix end in exactly one of the pieces that end there."""
         p, text, piece = self.p, self.text, self.piece
-        ids, pairs, lengths = p.id, p.pairs, p.lengths
+        own, pairs, lengths = p.own.get, p.pairs, p.lengths
         fresh = len(piece) == 1 and not self.before
         if fresh:
             for n in HEADS:
@@ -263,8 +277,8 @@ class Lattice:
             for n in lengths.get(text[i - 2 : i], (1,)) if i > 1 else (1,):
                 if n > i:
                     continue
-                s = text[i - n : i]
-                if s not in ids:
+                s = own(text[i - n : i])
+                if s is None:
                     continue
                 before = piece[i - n] or self.before
                 if before:
@@ -278,11 +292,15 @@ class Lattice:
                     break
             piece.append(found)
         if fresh and len(text) <= 64:
-            if len(p.heads) >= p.most_heads:
-                p.heads.clear()
             for n in HEADS:
                 if had < n <= len(text):
-                    p.heads[text[:n]] = piece[1 : n + 1]
+                    head, parts = text[:n], piece[1 : n + 1]
+                    size = getsizeof(head) + getsizeof(parts) + ENTRY
+                    if p.head_bytes + size > p.most_heads:
+                        p.heads.clear()
+                        p.head_bytes = 0
+                    p.heads[head] = parts
+                    p.head_bytes += size
 
     def _scores(self) -> None:
         """The last piece of the best path to each position."""
@@ -415,4 +433,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as ids: their columns but the text, and n_ids, ids_crc32, round_trip and ids."""
-    return encode_documents(docs, default_model())
+    return encode_documents(docs, default_model(), cache=STAGE_CACHE)

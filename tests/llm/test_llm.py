@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -351,6 +352,20 @@ def test_mix_against_sql(spark, docs, rows):
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+def test_piece_caches_are_bounded_in_bytes():
+    """Words of rare characters take many bytes each; also within one text, what is remembered stays under the bound, and ids are the library's."""
+    r, limit = random.Random(4), 0.01
+    p = sentence_pieces.Pieces(sentence_pieces.default_model(), cache=limit)
+    for _ in range(3):
+        text = " ".join("".join(chr(r.randrange(0x1F300, 0x1F640)) + r.choice("ab") * 2 for _ in range(20)) for _ in range(3000))
+        assert p.encode(text) == p.lib.encode(text)
+        held = sum(sys.getsizeof(w) + sys.getsizeof(i) for x in (p.words, p.older) for w, i in x.items())
+        assert 0 < held <= limit * 96_000_000
+        assert sum(map(sys.getsizeof, p.heads.values())) <= limit * 48_000_000
+    text = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(4, 12))) for _ in range(2000))
+    assert p.encode(text) == p.lib.encode(text) and all(x is p.own.get(x, x) for v in p.heads.values() for x in v)
+
+
 def test_sentence_pieces():
     p = sentence_pieces.Pieces(sentence_pieces.default_model())
     for t in [r[1] or "" for r in corpus(5)] + ["  a  b\n\tc é ﬁ", "日本語 x", "   ", "▁a▁", "x" * 500, "ab" * 300 + " !" * 40, "\U0001f600 hi\n\n"]:
